@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import mixing, sharding
+from kinfold.llm import exact_dedup, mixing, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_jump_sharding": sharding.op3_jump_sharding,
+        "op5_streaming_dedup": exact_dedup.op5_streaming_dedup,
         "op7_weighted_fair_queue": mixing.op7_weighted_fair_queue,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_streaming_dedup": exact_dedup.SQL,
+    }
