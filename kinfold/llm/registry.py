@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import exact_dedup, mixing, sharding
+from kinfold.llm import exact_dedup, mixing, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc_normaliser": warc.op1_warc_normaliser,
         "op3_jump_sharding": sharding.op3_jump_sharding,
         "op5_streaming_dedup": exact_dedup.op5_streaming_dedup,
         "op7_weighted_fair_queue": mixing.op7_weighted_fair_queue,
