@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import exact_dedup, mixing, sharding, warc
+from kinfold.llm import exact_dedup, mixing, sharding, token_planes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_normaliser": warc.op1_warc_normaliser,
+        "op2_token_planes": token_planes.op2_token_planes,
         "op3_jump_sharding": sharding.op3_jump_sharding,
         "op5_streaming_dedup": exact_dedup.op5_streaming_dedup,
         "op7_weighted_fair_queue": mixing.op7_weighted_fair_queue,
