@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import exact_dedup, mixing, sharding, token_planes, warc
+from kinfold.llm import exact_dedup, mixing, ngram_join, sharding, token_planes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_planes": token_planes.op2_token_planes,
         "op3_jump_sharding": sharding.op3_jump_sharding,
         "op5_streaming_dedup": exact_dedup.op5_streaming_dedup,
+        "op6_prefix_tree_join": ngram_join.op6_prefix_tree_join,
         "op7_weighted_fair_queue": mixing.op7_weighted_fair_queue,
     }
 
