@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import exact_dedup, mixing, ngram_join, sharding, token_planes, warc
+from kinfold.llm import exact_dedup, mixing, ngram_join, sharding, suffix_dedup, token_planes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_streaming_dedup": exact_dedup.op5_streaming_dedup,
         "op6_prefix_tree_join": ngram_join.op6_prefix_tree_join,
         "op7_weighted_fair_queue": mixing.op7_weighted_fair_queue,
+        "op8_suffix_array_dedup": suffix_dedup.op8_suffix_array_dedup,
     }
 
 
