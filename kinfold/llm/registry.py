@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import exact_dedup, mixing, ngram_join, sharding, suffix_dedup, token_planes, warc
+from kinfold.llm import exact_dedup, language_id, mixing, ngram_join, sharding, suffix_dedup, token_planes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc_normaliser": warc.op1_warc_normaliser,
         "op2_token_planes": token_planes.op2_token_planes,
         "op3_jump_sharding": sharding.op3_jump_sharding,
+        "op4_hyperdimensional_language": language_id.op4_hyperdimensional_language,
         "op5_streaming_dedup": exact_dedup.op5_streaming_dedup,
         "op6_prefix_tree_join": ngram_join.op6_prefix_tree_join,
         "op7_weighted_fair_queue": mixing.op7_weighted_fair_queue,
