@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.hits import filled, key_bits
+from kinfold.llm.hits import digest_slot, filled, key_bits
 from kinfold.llm.scratch import bounded_batches, materialise, scratch_path
 
 #: Settings of the state: RocksDB on the executors' disks with bounded memory, change logs in the checkpoint.
@@ -103,7 +103,7 @@ def streaming_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     staged = spark.read.schema(staged.schema).parquet(path)
     state = materialise(keyed_state(spark, path, staged.schema, root), "exact-dedup-state")
     hits = state.where("group_size > 1").select("digest")
-    bodies = source.select("text").mapInArrow(_hit_bodies(key_bits(hits, "digest")), "digest binary, body binary")
+    bodies = source.select("text").mapInArrow(_hit_bodies(key_bits(hits, digest_slot("digest"))), "digest binary, body binary")
     variants = bodies.groupBy("digest", "body").agg(F.count(F.lit(1)).alias("n")).groupBy("digest").agg(F.count(F.lit(1)).alias("bodies"), F.sum("n").alias("copies"))
     checked = state.join(variants, "digest", "left").withColumn(
         "group_size",

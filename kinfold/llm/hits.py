@@ -11,9 +11,17 @@ BITS = 1 << 23
 ROW_BITS = 32768
 
 
-def key_bits(df: DataFrame, digest: str) -> np.ndarray:
-    """Which of the ``BITS`` slots the binary column ``digest`` fills (slot: its first 4 bytes, big-endian, modulo)."""
-    slot = F.pmod(F.conv(F.hex(F.substring(F.col(digest), 1, 4)), 16, 10).cast("long"), F.lit(BITS)).cast("long")
+def digest_slot(digest: str) -> F.Column:
+    """The slot of a binary digest: its first 4 bytes, big-endian, modulo."""
+    return F.pmod(F.conv(F.hex(F.substring(F.col(digest), 1, 4)), 16, 10).cast("long"), F.lit(BITS)).cast("long")
+
+
+def id_slot(key: str) -> F.Column:
+    return F.pmod(F.col(key).cast("long"), F.lit(BITS)).cast("long")
+
+
+def key_bits(df: DataFrame, slot: F.Column) -> np.ndarray:
+    """Which of the ``BITS`` slots the rows fill."""
     rows = df.select(slot.alias("s")).select(F.shiftright("s", 15).alias("b"), F.col("s").bitwiseAND(F.lit(ROW_BITS - 1).cast("long")).alias("p"))
     bits = np.zeros(BITS // 8, np.uint8)
     for row in rows.groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect():
@@ -24,3 +32,8 @@ def key_bits(df: DataFrame, digest: str) -> np.ndarray:
 def filled(bits: np.ndarray, digest: bytes) -> bool:
     slot = int.from_bytes(digest[:4], "big") % BITS
     return bool(bits[slot >> 3] >> (slot & 7) & 1)
+
+
+def filled_ids(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    slot = ids % BITS
+    return (bits[slot >> 3] >> (slot & 7) & 1).astype(bool)

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.hits import filled, key_bits
+from kinfold.llm.hits import digest_slot, filled, key_bits
 from kinfold.llm.scratch import bounded_batches, filesystem, normal_uri, scratch_path
 
 CHUNK = 1 << 20
@@ -215,7 +215,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     they are read; only the others are joined."""
     digests = pages.select("page_id", "html").mapInArrow(_sha1, "page_id long, digest binary, n long")
     shared = digests.where(F.col("n") >= LEAST_REVISIT).groupBy("digest").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "holder")
-    marked = pages.mapInArrow(_marked(key_bits(shared, "digest")), "page_id long, url string, html string, digest binary")
+    marked = pages.mapInArrow(_marked(key_bits(shared, digest_slot("digest"))), "page_id long, url string, html string, digest binary")
     alone = marked.where("digest IS NULL").select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"))
     rest = marked.where("digest IS NOT NULL").join(shared, "digest", "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("holder")), F.col("holder"))
