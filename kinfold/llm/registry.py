@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import embedding_dedup, exact_dedup, language_id, mixing, ngram_join, sharding, suffix_dedup, token_planes, warc
+from kinfold.llm import embedding_dedup, exact_dedup, language_id, mixing, ngram_join, pieces, sharding, suffix_dedup, token_planes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_weighted_fair_queue": mixing.op7_weighted_fair_queue,
         "op8_suffix_array_dedup": suffix_dedup.op8_suffix_array_dedup,
         "op9_nn_descent": embedding_dedup.op9_nn_descent,
+        "op10_sentencepiece_lattice": pieces.op10_sentencepiece_lattice,
     }
 
 
