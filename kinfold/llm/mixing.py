@@ -36,10 +36,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, pas
     return w.select("source", "source_size", F.least("_cap", F.coalesce(stop.scalar() * F.col("_w"), F.col("_cap"))).alias("target"))
 
 
-def fair_queue(docs: DataFrame, *, weights: tuple[int, ...] = DEFAULT_WEIGHTS, share: float = 1.5, passes: int = 2, seed: int = 7, buckets: int = 256, bins: int = 4096, key: str = "doc_id", text: str = "text", source: str = "source", size: F.Column | None = None) -> DataFrame:
+def fair_queue(docs: DataFrame, *, weights: tuple[int, ...] = DEFAULT_WEIGHTS, share: float = 1.5, passes: int = 2, seed: int = 7, buckets: int = 256, bins: int = 4096, key: str = "doc_id", text: str = "text", source: str = "source", size: F.Column | None = None, order: tuple[str, ...] | None = None) -> DataFrame:
     """One row per row of ``docs`` with what the mix takes of it.
 
-    Documents of a source are shuffled by a seeded hash; the n-th word served has virtual time ``n / target``, and a
+    Documents of a source are shuffled by a seeded hash of ``order`` (key and text by default); the n-th word served has virtual time ``n / target``, and a
     document's finish time is that of its last word (one for each of ``passes`` repeats).  The merged queue is
     ordered globally by finish time in equal-width bins and cut where its running sum of words passes the budget;
     the document across the cut is taken when at least half of it fits.  Whole documents only.
@@ -49,7 +49,7 @@ def fair_queue(docs: DataFrame, *, weights: tuple[int, ...] = DEFAULT_WEIGHTS, s
     Result: ``doc_id, size, source, source_size, target, taken`` (words, repeats counted) and ``first_finish``.
     Null texts and keys are rows of size 0 and key null; size 0 is never taken.  Null source is a source (last).
     """
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), (word_count(text) if size is None else size).alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("_h"))
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), (word_count(text) if size is None else size).alias("size"), F.xxhash64(F.lit(seed), *map(F.col, order or (key, text))).alias("_h"))
     rows = rows.withColumn("_bucket", F.floor((F.shiftright("_h", 40) + F.lit(1 << 23)) * F.lit(buckets / float(1 << 24))).cast("int"))
     parts = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_s"))
     sizes = parts.groupBy("source").agg(F.sum("_s").alias("source_size"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from kinfold.llm import embedding_dedup, exact_dedup, language_id, mixing, ngram_join, pieces, sharding, suffix_dedup, token_planes, warc
 
 
@@ -21,10 +22,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_array_dedup": suffix_dedup.op8_suffix_array_dedup,
         "op9_nn_descent": embedding_dedup.op9_nn_descent,
         "op10_sentencepiece_lattice": pieces.op10_sentencepiece_lattice,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_streaming_dedup": exact_dedup.SQL,
-    }
+    } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
