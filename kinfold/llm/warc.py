@@ -268,3 +268,14 @@ def warc_round_trip(pages: DataFrame, *, page_id: str = "page_id", url: str = "u
 def op1_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return warc_round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS h FROM p),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS holder FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest,
+       CASE WHEN n >= {LEAST_REVISIT} AND page_id IS DISTINCT FROM holder THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= {LEAST_REVISIT} AND page_id IS DISTINCT FROM holder THEN holder END AS refers_to
+FROM g
+"""

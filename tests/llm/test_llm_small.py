@@ -1,5 +1,6 @@
 """Small cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing column names; brute force."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -52,7 +53,7 @@ def test_warc_round_trip(spark):
 
 def test_normaliser_takes_any_members(tmp_path):
     recs = [warc.record(i, f"u{i}", b"p" * i, hashlib.sha1(b"p" * i).digest(), None, "2024-01-01T00:00:00Z") for i in range(5)]
-    press = lambda b: (c := zlib.compressobj(6, zlib.DEFLATED, 31)).compress(b) + c.flush()
+    press = gzip.compress
     for raw in (press(b"".join(recs)), b"".join(map(press, recs)), press(b"".join(recs[:2])) + press(b"".join(recs[2:]))):
         p = tmp_path / "a.warc.gz"
         p.write_bytes(raw)
@@ -394,7 +395,7 @@ def test_pieces_agree_with_the_library(spark):
     path = tokenizer_files.path("piece_bpe_32k.model")
     lib = sentencepiece.SentencePieceProcessor(model_file=path)
     rows = [*ODD, (20, " "), (21, "  a  b\n\tc▁d é 12 漢字𓀀 <s> </s> «x»."), (22, "a" * 200), (23, "the " * 3 + "x" * 70 + " 日本語" * 30), (24, "supercalifragilistic aaaaaaaa mississippi ½²"), (25, "نص عربي वाक्य")]
-    docs = texts(spark, rows).select("doc_id", "text").unionByName(documents(spark).select(F.col("doc_id") + 1000, "text"))
+    docs = texts(spark, rows).select("doc_id", "text").unionByName(documents(spark).select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
     got = pieces.encode_documents(docs, path).collect()
     want = sorted(np.array(lib.encode(t or ""), "<u4").tobytes() for _, t in docs.collect())
     assert sorted(bytes(r.ids) for r in got) == want
