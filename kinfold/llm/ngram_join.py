@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.bytestext import U64, mix, row_blocks, shingle_sets, text_bytes
 from kinfold.llm.components import components
-from kinfold.llm.scratch import bounded_batches, materialise
+from kinfold.llm.hits import filled_ids, id_slot, key_bits
+from kinfold.llm.scratch import bounded_batches, drop_table, materialise
 
 #: Rows of bytes worked on at once.
 BLOCK = 2 << 20
-#: Most entries of the list of frequent n-grams that end the global order (16 bytes each, whatever the input).
-FREQUENT = 1 << 16
+#: Most entries of the list of frequent n-grams that end the global order, and of a task's share in it (16 bytes each,
+#: whatever the input).
+FREQUENT, TASK_FREQUENT = 1 << 19, 1 << 17
+#: Rounds of stars before the remaining pairs are counted.
+STARS = 2
 #: Members that one traversal of a prefix tree has.
 JOB = 256
 
@@ -39,8 +43,8 @@ def _count_frequent(width: int):  # noqa: ANN202
         keys, n = np.concatenate([old[0], keys[n >= 3]]), np.concatenate([old[1], n[n >= 3]])
         keys, at = np.unique(keys, return_inverse=True)
         n = np.bincount(at, n, len(keys)).astype(np.int64)
-        if len(keys) > FREQUENT:
-            top = np.argpartition(-n, FREQUENT)[:FREQUENT]
+        if len(keys) > TASK_FREQUENT:
+            top = np.argpartition(-n, TASK_FREQUENT)[:TASK_FREQUENT]
             keys, n = keys[top], n[top]
         return keys, n
 
@@ -97,7 +101,7 @@ def _prefixes(order: Order, width: int, percent: int):  # noqa: ANN202
             flat = np.concatenate(pre).view(np.int64) if pre else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b.column(0),
-                "n": pa.array(n, pa.int64()),
+                "n": pa.array(n, pa.int32()),
                 "h1": pa.array(np.array(h1, U64).view(np.int64)),
                 "h2": pa.array(np.array(h2, U64).view(np.int64)),
                 "prefix": pa.ListArray.from_arrays(pa.array(at), pa.array(flat)),
@@ -115,6 +119,35 @@ def _ordered_sets(order: Order, width: int):  # noqa: ANN202
     return run
 
 
+def _wanted(bits: np.ndarray):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(filled_ids(bits, b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))
+
+    return run
+
+
+def sets_of(pairs: DataFrame, rows: DataFrame, order: Order, width: int) -> DataFrame:
+    """The globally ordered sets of the documents in ``pairs``, from their texts.  A fixed-size bitmap of their keys
+    keeps most other texts out of the shuffle of the semi-join."""
+    ids = pairs.select(F.explode(F.array("q", "m")).alias("doc_id")).distinct()
+    some = rows.where("doc_id IS NOT NULL").mapInArrow(_wanted(key_bits(ids, id_slot("doc_id"))), "doc_id long, text string")
+    texts = some.join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
+    return materialise(texts.mapInArrow(_ordered_sets(order, width), "doc_id long, grams binary"), "ngram-sets")
+
+
+def possible(percent: int) -> F.Column:
+    """Whether a pair that shares ``together`` prefix grams (sizes ``nq`` and ``nm``) can still be similar.
+
+    Of two prefixes, every shared gram up to the end of the one that ends first lies in both; beyond it that set has
+    its size less its prefix left.  So the overlap is at most ``together`` plus the larger of the two remainders.
+    """
+    ceiling = lambda c: F.ceil(F.lit(percent) * F.col(c) / F.lit(100.0))
+    need = F.ceil(F.lit(percent) * (F.col("nq") + F.col("nm")) / F.lit(100.0 + percent))
+    sizes = F.lit(100) * F.least("nq", "nm") >= F.lit(percent) * F.greatest("nq", "nm")
+    return sizes & (F.col("together") + F.greatest(ceiling("nq"), ceiling("nm")) - 1 >= need - F.lit(1e-9))
+
+
 class PrefixTree:
     """A trie of globally ordered sets, kept flat: the sets in lexicographic order, each with the depth at which it
     leaves its predecessor's path.  Walking them in that order visits every edge of the trie once."""
@@ -211,9 +244,12 @@ def similar_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, key
 
     1. Equal sets collapse into one representative, pre-aggregated, whatever the group's size.
     2. Each representative posts the prefix of its globally ordered set that any similar set must touch.
-    3. Per posted gram, all are compared with the smallest set (a star, not all pairs); links give components.
-    4. Only grams whose documents still lie in different components have their remaining pairs compared.
-    Sets of all documents are never stored: candidates' texts are read again for comparison.
+    3. Per posted gram, all are paired with the document nearest to the middle of its group (a star, not all pairs).
+       Pairs that share enough posted grams to be possible are verified on prefix trees; links give components.
+       ``STARS`` rounds take other middles, each time only among grams that several components share.
+    4. Only grams whose documents then still lie in different components have their remaining pairs counted, bounded
+       and verified, so the result is exact whatever the stars missed.
+    Sets of all documents are never stored: the texts of pairs that are verified are read again.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -221,38 +257,60 @@ def similar_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, key
     counts = rows.select("text").mapInArrow(_count_frequent(width), "gram long, n long")
     top = counts.groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(FREQUENT)
     order = Order([r.gram for r in top.collect()])
-    sized = materialise(rows.mapInArrow(_prefixes(order, width, percent), "doc_id long, n long, h1 long, h2 long, prefix array<long>"), "ngram-prefixes")
+    sized = materialise(rows.mapInArrow(_prefixes(order, width, percent), "doc_id long, n int, h1 long, h2 long, prefix array<long>"), "ngram-prefixes")
 
     classes = materialise(sized.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "ngram-classes")
     one = sized.where("n > 0").join(classes.select("n", "h1", "h2", F.col("rep").alias("doc_id")), ["n", "h1", "h2", "doc_id"])
     posted = one.select(F.col("doc_id").alias("rep"), "n", F.explode("prefix").alias("gram"))
     by_gram = Window.partitionBy("gram")
-    posted = posted.withColumn("_least", F.min(F.struct("n", "rep")).over(by_gram)).withColumn("_most", F.max("rep").over(by_gram)).withColumn("_fewest", F.min("rep").over(by_gram))
-    shared = posted.where(F.col("_most") != F.col("_fewest")).select("gram", "rep", "n", F.col("_least.n").alias("a_n"), F.col("_least.rep").alias("anchor"))
-    shared = materialise(shared, "ngram-shared")
-
-    wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
-    texts = rows.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = materialise(texts.mapInArrow(_ordered_sets(order, width), "doc_id long, grams binary"), "ngram-sets")
-
-    near = F.lit(100) * F.col("a_n") >= F.lit(percent) * F.col("n")
-    star = materialise(shared.where((F.col("rep") != F.col("anchor")) & near).select(F.col("anchor").alias("q"), F.col("rep").alias("m")).distinct(), "ngram-star")
-    links = materialise(verified(star, sets, percent), "ngram-links")
-    labels = components(links, "q", "m")
-
-    labelled = shared.join(labels.select(F.col("v").alias("rep"), "component"), "rep", "left").select("gram", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    split = labelled.withColumn("_lo", F.min("c").over(by_gram)).withColumn("_hi", F.max("c").over(by_gram)).where("_lo <> _hi").select("gram", "rep", "n", "c")
-    a, b = split.alias("a"), split.alias("b")
-    first = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.rep") < F.col("b.rep")))
-    rest = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.c") != F.col("b.c")) & first & (F.lit(100) * F.col("a.n") >= F.lit(percent) * F.col("b.n")))
-    rest = rest.select(F.col("a.rep").alias("q"), F.col("b.rep").alias("m")).distinct().join(star, ["q", "m"], "left_anti")
-    more = materialise(verified(materialise(rest, "ngram-rest"), sets, percent), "ngram-links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more), "q", "m")
+    posted = posted.withColumn("df", F.count(F.lit(1)).over(by_gram)).where("df > 1")
+    shared = materialise(posted.select("gram", "rep", "n", "df"), "ngram-shared")
+    # the more others share of a document's prefix, the nearer it is to the middle of a group of copies
+    middle = shared.groupBy("rep").agg((F.sum("df") / F.max("n")).alias("middle"))
+    open_ = materialise(shared.join(middle, "rep").select("gram", "rep", "n", F.struct("middle", (-F.col("n")).alias("n"), (-F.col("rep")).alias("rep")).alias("m"), F.col("rep").alias("c")), "ngram-open")
+
+    done: DataFrame | None = None
+    used: DataFrame | None = None
+    links: DataFrame | None = None
+    labels: DataFrame | None = None
+    for turn in range(STARS + 1):
+        if turn < STARS:
+            heads = open_ if used is None else open_.join(used, "rep", "left").withColumn("m", F.when(F.col("used").isNull(), F.col("m")))
+            star = heads.withColumn("_h", F.max("m").over(by_gram))
+            star = star.withColumn("_c", F.max(F.when(F.col("m") == F.col("_h"), F.col("c"))).over(by_gram)).where((F.col("c") != F.col("_c")))
+            pairs = star.select((-F.col("_h.rep")).alias("q"), F.col("rep").alias("m"), (-F.col("_h.n")).alias("nq"), F.col("n").alias("nm"))
+        else:
+            a, b = open_.alias("a"), open_.alias("b")
+            first = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.rep") < F.col("b.rep")))
+            rest = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.c") != F.col("b.c")) & first & (F.lit(100) * F.col("a.n") >= F.lit(percent) * F.col("b.n")))
+            pairs = rest.select(F.col("a.rep").alias("q"), F.col("b.rep").alias("m"), F.col("a.n").alias("nq"), F.col("b.n").alias("nm"))
+        pairs = pairs.groupBy("q", "m", "nq", "nm").agg(F.count(F.lit(1)).alias("together")).where(possible(percent)).select("q", "m")
+        if done is not None:
+            both = done.unionByName(done.select(F.col("m").alias("q"), F.col("q").alias("m")))
+            pairs = pairs.join(both, ["q", "m"], "left_anti")
+        pairs = materialise(pairs, "ngram-pairs")
+        if pairs.isEmpty():
+            if turn < STARS:
+                continue
+            break
+        sets = sets_of(pairs, rows, order, width)
+        found = materialise(verified(pairs, sets, percent), "ngram-links")
+        drop_table(sets)
+        done = pairs if done is None else done.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        labels = components(links, "q", "m")
+        if turn < STARS:
+            heads = pairs.select(F.col("q").alias("rep"), F.lit(True).alias("used")).distinct()
+            used = heads if used is None else used.unionByName(heads).distinct()
+            now = open_.drop("c").join(labels.select(F.col("v").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+            now = now.withColumn("_lo", F.min("c").over(by_gram)).withColumn("_hi", F.max("c").over(by_gram)).where("_lo <> _hi").drop("_lo", "_hi")
+            now = materialise(now, "ngram-open")
+            drop_table(open_)
+            open_ = now
 
     ids = sized.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left")
-    ids = ids.join(labels.select(F.col("v").alias("rep"), "component"), "rep", "left")
-    return ids.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+    ids = ids.join(labels.select(F.col("v").alias("rep"), "component"), "rep", "left") if labels is not None else ids.withColumn("component", F.lit(None).cast("long"))
+    return ids.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
 
 def op6_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
