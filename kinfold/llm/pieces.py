@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.scratch import bounded_batches, filesystem, normal_uri, scratch_path
+from kinfold.llm.scratch import bounded_batches, filesystem, normal_uri, partitions, scratch_path
 
 #: Fixed values of the model format: the mark of a space, the byte pieces' form, model types.
 SPACE_MARK = "▁"
@@ -26,6 +26,8 @@ LONGEST = 60
 HEAD = 1 << 19
 #: Of each task at most so many go into the count that picks the head.
 TASK_HEAD = 1 << 17
+#: Tasks that lattices are dealt over, as a multiple of the shuffle partitions.
+LATTICE_TASKS = 8
 
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 SYMBOLS = r"\x00-\x1f\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f"
@@ -413,13 +415,16 @@ def encode_documents(docs: DataFrame, model: str, *, key: str = "doc_id", text:
     encode_words(top.repartition("word"), ["word"], table).write.parquet(head)
     head = normal_uri(head)
     tails = rows.select("doc_id", "h", "text").mapInArrow(_tails(model, head), "doc_id long, h long, pos int, word string")
-    tails = tails.repartition("doc_id", "h")
-    done = encode_words(tails, ["doc_id", "h", "pos"], table)
-    done = done.groupBy("doc_id", "h").agg(F.collect_list(F.struct("pos", "ids")).alias("tail")).withColumnsRenamed({"doc_id": "d", "h": "dh"})
+    # a lattice is some hundred times its word, so its tasks get few words each; a key that is never null keeps the
+    # partitioning for the join below
+    whose = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    tails = tails.select(whose.alias("k"), "h", "pos", "word").repartition(LATTICE_TASKS * partitions(spark), "k", "h")
+    done = encode_words(tails, ["k", "h", "pos"], table)
+    done = done.groupBy("k", "h").agg(F.collect_list(F.struct("pos", "ids")).alias("tail"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     extra = "".join(f", `{c}` {kinds[c]}" for c in carry)
     pressed = rows.select("doc_id", "h", "text", *carry).mapInArrow(_pressed, f"doc_id long, h long, text binary{extra}")
-    whole = pressed.join(done, pressed["doc_id"].eqNullSafe(done["d"]) & (pressed["h"] == done["dh"]), "left").select("doc_id", "text", *carry, "tail")
+    whole = pressed.withColumn("k", whose).join(done, ["k", "h"], "left").select("doc_id", "text", *carry, "tail")
     return whole.mapInArrow(_assemble(model, head), f"doc_id long, n_pieces long, ids_crc32 long, decoded_crc32 long, round_trip boolean, ids binary{extra}")
 
 
