@@ -253,8 +253,8 @@ def _span_rows(anchor, doc, tag, start, windows, context) -> pa.RecordBatch:  #
 
 
 def _within_blocks(length: int):  # noqa: ANN202
-    """Map side: passages of marked anchors are compared within a block; what a smaller document of the block holds is
-    removed there (rows without a context), and only first holders' passages go on, keyed by anchor."""
+    """Map side: the contexts of marked anchors.  Of equal contexts in a block only those of the smallest document go on,
+    keyed by anchor; the others are removed here (rows without a context)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -264,41 +264,38 @@ def _within_blocks(length: int):  # noqa: ANN202
             marks = b.column(3)
             for part, a, starts, packed in block_windows(data, offsets, length):
                 row = np.searchsorted(offsets, starts + a, "right") - 1
-                anchor = (packed >> U64(24)).astype(np.int64)
+                at = _runs(starts, row, packed)
+                n = np.diff(np.append(at, len(starts)))
+                starts, row, anchor = starts[at], row[at], (packed[at] >> U64(24)).astype(np.int64)
                 marked = np.zeros(len(starts), bool)
                 cuts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]]))
                 for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                     own = np.sort(marks[int(row[x])].values.to_numpy(zero_copy_only=False))
                     seg = anchor[x:y]
                     marked[x:y] = own[np.minimum(np.searchsorted(own, seg), len(own) - 1)] == seg
-                starts, row, packed, anchor = starts[marked], row[marked], packed[marked], anchor[marked]
+                starts, row, anchor, n = starts[marked], row[marked], anchor[marked], n[marked]
                 if not len(starts):
                     continue
-                edge = np.zeros(len(part) + 1, np.int32)
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + length, -1)
-                covered = np.cumsum(edge[:-1]) > 0
-                place = np.cumsum(covered) - 1
-                owner = doc[row]
-                gone = first_owner(part[covered], place[starts], owner, length) < owner
-                base = offsets[row] - a
-                for kept in (False, True):
-                    sel = ~gone if kept else gone
-                    s, r, p = starts[sel], row[sel], packed[sel]
-                    if not len(s):
-                        continue
-                    at = _runs(s, r, p) if kept else _runs(s, r)
-                    n = np.diff(np.append(at, len(s)))
-                    ctx = _gather(part, s[at], n + length - 1) if kept else pa.nulls(len(at), pa.binary())
-                    key = anchor[sel][at]
-                    yield _span_rows(key, doc[r[at]], tag[r[at]], s[at] - base[sel][at], n, ctx)
+                context = _gather(part, starts, n + length - 1)
+                least: dict[bytes, int] = {}
+                owners, bodies = doc[row].tolist(), context.to_pylist()
+                for body, owner in zip(bodies, owners, strict=True):
+                    if least.setdefault(body, owner) > owner:
+                        least[body] = owner
+                gone = np.array([least[body] < owner for body, owner in zip(bodies, owners, strict=True)])
+                start = starts + a - offsets[row]
+                if gone.any():
+                    yield _span_rows(anchor[gone], doc[row[gone]], tag[row[gone]], start[gone], n[gone], pa.nulls(int(gone.sum()), pa.binary()))
+                stay = ~gone
+                yield _span_rows(anchor[stay], doc[row[stay]], tag[row[stay]], start[stay], n[stay], context.filter(pa.array(stay)))
 
     return run
 
 
 def _across_blocks(length: int):  # noqa: ANN202
-    """Reduce side: rows sorted by anchor and document.  Groups are joined to suffix arrays of about ``BLOCK`` bytes;
-    of a group that is cut, first holders' contexts go on into the next one, so a group of any size is exact."""
+    """Reduce side: rows sorted by anchor and document.  A context that an earlier document has goes whole; anchors with
+    one context are done.  The contexts of the others are joined to suffix arrays of about ``BLOCK`` bytes.  Of a
+    group that exceeds it, first holders' contexts go on into the next array, so a group of any size is exact."""
 
     def decide(held: list[tuple]) -> tuple[pa.RecordBatch | None, np.ndarray]:
         sizes = np.array([len(x[5]) for x in held], np.int64)
@@ -320,21 +317,43 @@ def _across_blocks(length: int):  # noqa: ANN202
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
+        group: list[tuple] = []
+        first: dict[bytes, int] = {}
+        size = group_size = 0
+        anchor = None
         for b in batches:
             none = b.column(5).is_null()
             if none.true_count:
                 yield b.filter(none)  # removed already
-            for x in zip(*(c.to_pylist() for c in b.filter(pa.compute.invert(none)).columns), strict=True):
-                if size > BLOCK:
-                    out, whole = decide(held)
+                b = b.filter(pa.compute.invert(none))
+            cols = [c.to_pylist() for c in b.columns]
+            gone: list[int] = []
+            for i, (key, doc, body) in enumerate(zip(cols[0], cols[1], cols[5], strict=True)):
+                if key != anchor:
+                    if len(first) > 1:
+                        held += group
+                        size += group_size
+                    group, first, group_size, anchor = [], {}, 0, key
+                    if size > BLOCK:
+                        out, _ = decide(held)
+                        if out is not None:
+                            yield out
+                        held, size = [], 0
+                if first.setdefault(body, doc) < doc:
+                    gone.append(i)
+                    continue
+                group.append((key, doc, cols[2][i], cols[3][i], cols[4][i], body))
+                group_size += len(body)
+                if group_size > 8 * BLOCK:
+                    out, whole = decide(group)
                     if out is not None:
                         yield out
-                    # rows that stay alone in a later pass would be reported twice only if they were removed here
-                    held = [y for y, w in zip(held, whole.tolist(), strict=True) if w and y[0] == x[0]]
-                    size = sum(len(y[5]) for y in held)
-                held.append(x)
-                size += len(x[5])
+                    group = [y for y, w in zip(group, whole.tolist(), strict=True) if w]
+                    group_size = 0  # what stays is first in order, and bounded by the distinct contexts
+            if gone:
+                yield b.take(pa.array(gone)).set_column(5, "context", pa.nulls(len(gone), pa.binary()))
+        if len(first) > 1:
+            held += group
         if held:
             out, _ = decide(held)
             if out is not None:
@@ -378,8 +397,9 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, key: str = "doc_id", te
     1. Equal texts: only the smallest key's text is looked at; the others go whole.
     2. Every string of ``length`` bytes has an anchor, its least-hashed ``ANCHOR``-gram.  Anchors that two texts share
        mark the places that can match; sorted lists of 40-bit hashes cross the shuffle, a few bytes each.
-    3. Marked passages are put into suffix arrays (see :func:`suffix_array`), first within the map task's block, so
-       that a passage found everywhere leaves each block once, then across blocks by anchor in key order.
+    3. The bytes around marked anchors meet by anchor in key order.  Equal contexts collapse first, already in the
+       map task's block, so that a passage found everywhere leaves each block once; contexts that differ are put
+       into suffix arrays (see :func:`suffix_array`).
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -395,7 +415,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, key: str = "doc_id", te
     marks = lists.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_anchors, "tag long, anchor long")
     marked = marks.groupBy("tag").agg(F.collect_list("anchor").alias("anchors")).join(firsts.select("tag", F.col("first").alias("doc_id")), "tag")
     passages = rows.select("doc_id", "tag", "text").join(marked.hint("shuffle_hash"), ["doc_id", "tag"])
-    passages = materialise(passages.select("doc_id", "tag", "text", "anchors"), "suffix-passages")
+    passages = materialise(passages.select("doc_id", "tag", "text", "anchors"), "suffix-passages", codec="zstd")
 
     found = passages.mapInArrow(_within_blocks(length), SPANS_DDL)
     found = found.repartition(buckets, "anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(_across_blocks(length), SPANS_DDL)
