@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm.components import components
@@ -16,10 +17,12 @@ from kinfold.llm.scratch import bounded_batches, drop_table, materialise
 NEIGHBOURS = 8
 #: Vectors that one block or one side of a tile has.
 BLOCK = 384
-#: Random-hyperplane tables that seed the graph, and rounds of neighbours-of-neighbours joins.
+#: Least random-hyperplane tables that seed a label's graph, and rounds of neighbours-of-neighbours joins.
 TABLES, ROUNDS = 4, 2
-#: Vectors whose links the audit finds by brute force (a bounded sample by hash), and the recall it asks for.
-AUDIT, RECALL = 256, 0.97
+#: Chance that a pair at the threshold meets in one of a label's tables, whatever the label's size.
+MEET = 0.99
+#: Vectors whose links the audit finds by brute force (a bounded sample by hash, labels in turn), and the recall it asks for.
+AUDIT, RECALL = 2048, 0.97
 #: Times that tables and rounds are added when the audit is not met.
 RETRIES = 3
 
@@ -114,42 +117,56 @@ def _best(k: int, threshold: float):  # noqa: ANN202
     return work
 
 
-def _sign_bits(tables: range, bits: dict, seed: int):  # noqa: ANN202
-    """Random-hyperplane signatures: a row per vector and table."""
+def tables_for(bits: int, threshold: float) -> int:
+    """Tables of ``bits`` hyperplanes in which a pair at the threshold meets with a chance of ``MEET``: each plane leaves
+    it together with a chance of 1 - angle / pi.  (Below a cosine of 0 the number is that of 0.)"""
+    apart = 1 - (1 - np.arccos(np.clip(threshold, 0, 1)) / np.pi) ** bits
+    return max(TABLES, int(np.ceil(np.log(1 - MEET) / np.log(apart)))) if bits and apart > 0 else TABLES
+
+
+def _sign_bits(tables: dict, bits: dict, seed: int):  # noqa: ANN202
+    """Random-hyperplane signatures: a row per vector and table of its label."""
+    every = range(min((t.start for t in tables.values()), default=0), max((t.stop for t in tables.values()), default=0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = b.column(2).to_pylist()
+            ids, labels, raw = (c.to_pylist() for c in b.columns)
             out = []
             for size in {len(x) for x in raw}:
                 at = [i for i, x in enumerate(raw) if len(x) == size]
                 m = _unit([raw[i] for i in at])
-                for t in tables:
+                for t in every:
                     planes = np.random.default_rng([seed, t, size]).standard_normal((size // 8, 24))
                     signs = (m @ planes > 0).astype(np.int64)
                     for row, i in enumerate(at):
-                        label = b.column(1)[i].as_py()
-                        n = bits.get((label, size), 0)
-                        out.append((label, size, t, int(signs[row, :n] @ (1 << np.arange(n))) if n else 0, b.column(0)[i].as_py(), raw[i]))
+                        label = labels[i]
+                        n = bits[label, size]
+                        if t in tables[label, size]:
+                            out.append((label, size, t, int(signs[row, :n] @ (1 << np.arange(n))) if n else 0, ids[i]))
             if out:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["label", "size", "t", "sig", "u", "vec"])
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["label", "size", "t", "sig", "u"])
 
     return run
 
 
-def seeds(vectors: DataFrame, tables: range, threshold: float, seed: int) -> DataFrame:
+def seeds(vectors: DataFrame, attempt: int, threshold: float, seed: int) -> DataFrame:
     """Edges among vectors that a random-hyperplane table puts together.  Bits follow the label's number of vectors
-    (a table of labels); a signature that still has many is dealt over several blocks by hash."""
+    (a table of labels), and the number of tables follows the bits; every attempt has tables of its own.  A signature
+    that still has many is dealt over several blocks by hash."""
     sizes = vectors.groupBy("label", F.octet_length("vec").alias("size")).count().collect()  # one row per label
     bits = {(r.label, r.size): min(24, max(0, int(np.ceil(np.log2(r["count"] / (BLOCK / 2)))))) for r in sizes}
-    signed = vectors.select("vec_id", F.col("label").cast("long").alias("label"), "vec").mapInArrow(_sign_bits(tables, bits, seed), "label long, size int, t int, sig long, u long, vec binary")
+    number = {k: tables_for(n, threshold) for k, n in bits.items()}
+    tables = {k: range(n * attempt, n * (attempt + 1)) for k, n in number.items()}
+    signed = vectors.select("vec_id", F.col("label").cast("long").alias("label"), "vec").mapInArrow(_sign_bits(tables, bits, seed), "label long, size int, t int, sig long, u long")
     signed = materialise(signed, "nn-signatures")
     where = ["label", "size", "t", "sig"]
     many = signed.groupBy(*where).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BLOCK)
     dealt = signed.join(many, where, "left").withColumn("part", F.pmod(F.xxhash64("u", "t"), F.ceil(F.coalesce("_n", F.lit(1)) / F.lit(BLOCK // 2)).cast("long")).cast("int"))
-    rows = dealt.select(*where, "part", "u", "vec", F.lit(-1.0).alias("least"))
-    return rows.repartition(*where, "part").sortWithinPartitions(*where, "part").mapInArrow(grouped(_best(NEIGHBOURS, threshold), 5), EDGES)
+    rows = dealt.join(vectors.select(F.col("vec_id").alias("u"), "vec"), "u").select(*where, "part", "u", "vec", F.lit(-1.0).alias("least"))
+    edges = materialise(rows.repartition(*where, "part").sortWithinPartitions(*where, "part").mapInArrow(grouped(_best(NEIGHBOURS, threshold), 5), EDGES), "nn-edges")
+    drop_table(signed)
+    return edges
 
 
 def nearest(edges: DataFrame, k: int) -> DataFrame:
@@ -223,6 +240,18 @@ def _audit(queries: list[tuple], threshold: float):  # noqa: ANN202
     return run
 
 
+def judge(rows: list) -> dict[str, tuple[int, float]]:
+    """Of rows ``label, true, found``: per label, and per power of four of the links, how many vectors with links were
+    audited and the mean share of a vector's links that was found.  Every vector counts the same, so a large component
+    does not outweigh pairs."""
+    shares: dict[str, list[float]] = {}
+    for r in rows:
+        if r.true:
+            for group in (f"label {r.label}", f"{4 ** ((r.true.bit_length() - 1) // 2)} links or more"):
+                shares.setdefault(group, []).append(min(1.0, r.found / r.true))
+    return {k: (len(v), sum(v) / len(v)) for k, v in shares.items()}
+
+
 def near_duplicates(table: DataFrame, *, threshold: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label", seed: int = 5) -> DataFrame:
     """One row per row: ``vec_id, n_links, component_id, kept``.
 
@@ -232,7 +261,8 @@ def near_duplicates(table: DataFrame, *, threshold: float = 0.93, key: str = "ve
 
     Equal vectors of a label are one vertex with a number of copies.  The graph is seeded by random hyperplanes and
     refined by joins of neighbours with neighbours' neighbours; edges below the threshold go.  The audit compares the
-    links of ``AUDIT`` vectors with brute force over all rows; below ``RECALL`` more tables and rounds follow.
+    links of ``AUDIT`` vectors with brute force over all rows; if a label or a size of neighbourhood is below ``RECALL``
+    (see :func:`judge`), more tables and rounds follow, and after the last ones an error.
     """
     spark = table.sparkSession
     bounded_batches(spark)
@@ -241,24 +271,33 @@ def near_duplicates(table: DataFrame, *, threshold: float = 0.93, key: str = "ve
     packed = materialise(rows.where("_ok").select("vec_id", "label", "embedding").mapInArrow(_pack, "vec_id long, label long, vec binary"), "nn-rows")
     classes = packed.groupBy("label", "vec").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
     vectors = materialise(classes.select("vec_id", "label", "vec", "copies"), "nn-vectors")
-    queries = [(r.vec_id, r.label, bytes(r.vec)) for r in vectors.orderBy(F.xxhash64(F.lit(seed), "vec_id")).limit(AUDIT).collect()]
+    turn = Window.partitionBy("label").orderBy("_h", "vec_id")
+    ranked = vectors.withColumn("_h", F.xxhash64(F.lit(seed), "vec_id")).withColumn("_r", F.row_number().over(turn)).where(F.col("_r") <= AUDIT)
+    queries = [(r.vec_id, r.label, bytes(r.vec)) for r in ranked.orderBy("_r", "_h").limit(AUDIT).collect()]
 
     truth = vectors.select("vec_id", "label", "vec", "copies").mapInArrow(_audit(queries, threshold), "u long, n long").groupBy("u").agg(F.sum("n").alias("true"))
     truth = materialise(truth, "nn-audit")
-    edges: DataFrame | None = None
+    asked = {q[0]: q[1] for q in queries}
+    held: list[DataFrame] = []
     for attempt in range(RETRIES + 1):
-        new = seeds(vectors, range(TABLES * attempt, TABLES * (attempt + 1)), threshold, seed)
-        edges = materialise(new if edges is None else edges.unionByName(new), "nn-edges")
+        held.append(seeds(vectors, attempt, threshold, seed))
         for _ in range(ROUNDS):
+            edges = functools.reduce(DataFrame.unionByName, held)
             graph = materialise(nearest(edges, NEIGHBOURS), "nn-graph")
             stars = edges.where("sim >= 3").distinct()
-            edges = materialise(graph.unionByName(stars).unionByName(descend(vectors, graph, threshold)), "nn-edges")
-            drop_table(graph)
-        members = components(edges.where(F.col("sim") >= threshold), "u", "v")
+            grown = materialise(graph.unionByName(stars).unionByName(descend(vectors, graph, threshold)), "nn-edges")
+            for gone in (graph, *held):
+                drop_table(gone)
+            held = [grown]
+        members = components(held[0].where(F.col("sim") >= threshold), "u", "v")
         counts = materialise(link_counts(vectors, members, threshold), "nn-counts")
-        found = truth.join(counts, "u", "left").agg(F.sum("true").alias("t"), F.sum(F.coalesce("n", F.lit(0))).alias("f")).first()
-        if not found.t or found.f >= RECALL * found.t:
+        found = truth.join(counts, "u", "left").select("u", "true", F.coalesce("n", F.lit(0)).alias("found")).collect()
+        low = {k: v for k, v in judge([Row(label=asked[r.u], true=r.true, found=r.found) for r in found]).items() if v[1] < RECALL}
+        if not low:
             break
+    else:
+        raise RuntimeError(f"near_duplicates misses links: the audit asks for {RECALL} and found, of vectors with links, " + ", ".join(f"{share:.3f} of {n} ({k})" for k, (n, share) in sorted(low.items())))
+    drop_table(held[0])
     named = vectors.join(members, vectors["vec_id"] == members["v"], "left").join(counts, vectors["vec_id"] == counts["u"], "left")
     named = named.select("label", "vec", F.coalesce("component", "vec_id").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
     linked = packed.join(named, ["label", "vec"]).select("vec_id", "n_links", "component_id")

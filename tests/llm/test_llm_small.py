@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from kinfold.llm import embedding_dedup, exact_dedup, language_id, mixing, ngram_join, pieces, sharding, suffix_dedup, token_planes, warc
@@ -386,6 +387,33 @@ def test_odd_vectors(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_pairs_beside_a_large_group(spark, monkeypatch):
+    """Small blocks give a small table the bits of a large one; a third of the rows is one group of near copies."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    hot = unit(rng.standard_normal(64)[None, :] / 8 + rng.standard_normal((1000, 64)) * 0.02)
+    a, b = unit(rng.standard_normal((300, 64))), rng.standard_normal((300, 64))
+    b = unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    cos = rng.uniform(0.935, 0.94, (300, 1))
+    m = np.concatenate([hot, unit(rng.standard_normal((1400, 64))), a, cos * a + np.sqrt(1 - cos**2) * b])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(m)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert np.mean([got[2400 + i] == got[2700 + i] == (1, 2400 + i) for i in range(300)]) >= 0.97
+    assert np.mean([got[i][1] == 0 for i in range(1000)]) >= 0.97
+
+
+def test_audit_counts_vectors_alike(spark, monkeypatch):
+    rows = [Row(label=1, true=900, found=900)] * 90 + [Row(label=1, true=1, found=0)] * 10 + [Row(label=2, true=0, found=0)]
+    assert embedding_dedup.judge(rows) == {"label 1": (100, 0.9), "256 links or more": (90, 1.0), "1 links or more": (10, 0.0)}
+    assert [embedding_dedup.tables_for(n, 0.93) for n in (0, 5, 10, 20)] == [4, 7, 15, 57]
+    monkeypatch.setattr(embedding_dedup, "RETRIES", 0)
+    monkeypatch.setattr(embedding_dedup, "link_counts", lambda *_: spark.createDataFrame([], "u long, n long"))
+    df = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.1], 1)], "vec_id long, embedding array<float>, label int")
+    with pytest.raises(RuntimeError, match="misses links"):
+        embedding_dedup.near_duplicates(df)
+
+
 # --- 10 --------------------------------------------------------------------------------------------------------
 
 
