@@ -419,6 +419,7 @@ def encode_documents(docs: DataFrame, model: str, *, key: str = "doc_id", text:
     # partitioning for the join below
     whose = F.coalesce("doc_id", F.lit(-(1 << 63)))
     tails = tails.select(whose.alias("k"), "h", "pos", "word").repartition(LATTICE_TASKS * partitions(spark), "k", "h")
+    tails = tails.distinct()  # rows that share key and text have the same tails; the dealing serves this too
     done = encode_words(tails, ["k", "h", "pos"], table)
     done = done.groupBy("k", "h").agg(F.collect_list(F.struct("pos", "ids")).alias("tail"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}

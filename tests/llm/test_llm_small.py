@@ -436,6 +436,20 @@ def test_pieces_agree_with_the_library(spark):
     assert {r.k: r.text for r in pieces.decode_ids(some, "k", "ids", table).collect()} == {1: "hello  wörld 漢字𓀀 ", 2: ""}
 
 
+@pytest.mark.parametrize("head", [pieces.HEAD, 3])
+def test_pieces_of_repeated_rows(spark, monkeypatch, head):
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "HEAD", head)
+    path = tokenizer_files.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    run = "".join(random.Random(3).choice("bcdfghjklmnpqrstvwxz") for _ in range(100))
+    rows = [(1, f"so {run} goes"), (1, f"so {run} goes"), (2, "the common text of some common words"), (2, "the common text of some common words"), (2, "another text"), (None, run), (None, run), (3, run)]
+    got = pieces.encode_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path).collect()
+    assert sorted((str(r.doc_id), bytes(r.ids)) for r in got) == sorted((str(k), np.array(lib.encode(t), "<u4").tobytes()) for k, t in rows)
+    assert all(r.round_trip and r.n_pieces == len(r.ids) // 4 and r.ids_crc32 == zlib.crc32(r.ids) for r in got)
+
+
 def test_viterbi_on_a_toy_unigram_table(spark):
     rng = random.Random(7)
     toy = object.__new__(pieces.Pieces)
