@@ -19,12 +19,19 @@ from kinfold.llm.scratch import materialise
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Letters from which a text is judged by its language, and the least cosine with a profile that it then needs.  The cosine
+#: of text unlike every profile is noise of about 1 / sqrt(1,024) a profile; this is five times that.
+ENOUGH_LETTERS, LEAST_SCORE = 20, 0.16
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that have a language: some letter, and some likeness to a profile.  Profiles are fitted on the
-    labelled documents of the input."""
+    """Keep documents that have a language.  Rejected are texts without a letter, and texts of ``ENOUGH_LETTERS`` or more
+    whose best score is below ``LEAST_SCORE``: letter junk and languages without a profile.  Texts with fewer letters are
+    too short to judge and stay.  Profiles are fitted on the labelled documents of the input."""
     profiles = fit(docs)
     scored = predict(docs, profiles, carry=COLUMNS)
-    return scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0)).select(*COLUMNS)
+    few = F.length(F.regexp_replace("text", r"\P{L}+", "")) < ENOUGH_LETTERS
+    return scored.where((F.col("lang_pred") != UNKNOWN) & ((F.col("score") >= LEAST_SCORE) | few)).select(*COLUMNS)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """The pipeline against brute force, stage by stage and as a whole."""
 
+import random
 import zlib
 from collections import Counter
 
@@ -51,3 +52,17 @@ def test_stages_and_run(spark):
     got = C.run(spark, DIR).collect()
     assert Counter((r.doc_id, r.ids_crc32, r.source) for r in got) == Counter((r[0], zlib.crc32(np.array(lib.encode(r[1]), "<u4").tobytes()), r[3]) for r in mixed)
     assert all(r.round_trip for r in got)
+
+
+def test_language_stage_judges_by_language(spark):
+    import corpus_pipeline as C
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    rng = random.Random(4)
+    junk = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(60))
+    unlike = [(10**6 + i, junk(("abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцч", "漢字日本語中文学生先今年月水火木金土")[i % 3])) for i in range(60)]
+    short = [(2 * 10**6 + i, t) for i, t in enumerate(["A.", "b", "Й", "ok", "12 x 34", "qzx"])]
+    none = [(3 * 10**6 + i, t) for i, t in enumerate(["", None, "12 34.", "\n--"])]
+    more = spark.createDataFrame([(k, t, None, "web", len(t or "")) for k, t in [*unlike, *short, *none]], docs.schema)
+    kept = {r.doc_id for r in C.language(spark, docs.unionByName(more), DIR).where("doc_id >= 1000000").collect()}
+    assert kept == {k for k, _ in short}
