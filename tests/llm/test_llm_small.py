@@ -436,27 +436,65 @@ def test_pieces_agree_with_the_library(spark):
     assert {r.k: r.text for r in pieces.decode_ids(some, "k", "ids", table).collect()} == {1: "hello  wörld 漢字𓀀 ", 2: ""}
 
 
-@pytest.mark.parametrize("head", [pieces.HEAD, 3])
-def test_pieces_of_repeated_rows(spark, monkeypatch, head):
+def test_pieces_of_repeated_rows(spark, monkeypatch):
     import sentencepiece
 
-    monkeypatch.setattr(pieces, "HEAD", head)
     path = tokenizer_files.path("piece_bpe_32k.model")
     lib = sentencepiece.SentencePieceProcessor(model_file=path)
     run = "".join(random.Random(3).choice("bcdfghjklmnpqrstvwxz") for _ in range(100))
-    rows = [(1, f"so {run} goes"), (1, f"so {run} goes"), (2, "the common text of some common words"), (2, "the common text of some common words"), (2, "another text"), (None, run), (None, run), (3, run)]
-    got = pieces.encode_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path).collect()
-    assert sorted((str(r.doc_id), bytes(r.ids)) for r in got) == sorted((str(k), np.array(lib.encode(t), "<u4").tobytes()) for k, t in rows)
-    assert all(r.round_trip and r.n_pieces == len(r.ids) // 4 and r.ids_crc32 == zlib.crc32(r.ids) for r in got)
+    rows = [(1, f"so {run} goes"), (2, "the common text of some common words"), (2, "another text"), (None, run), (3, run), (None, None), (4, "")]
+    rows = rows * 2 + [(k, t) for k, t in documents(spark).select("doc_id", "text").collect()] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"place": F.lit("x"), "word": F.lit(1), "_w": F.lit(2), "path": F.col("text")})
+    for chunk in (pieces.CHUNK, 1000):  # one list for all, or very many
+        monkeypatch.setattr(pieces, "CHUNK", chunk)
+        got = pieces.encode_documents(df.repartition(3), path, carry=("place", "path")).collect()
+        assert sorted((str(r.doc_id), bytes(r.ids)) for r in got) == sorted((str(k), np.array(lib.encode(t or ""), "<u4").tobytes()) for k, t in rows)
+        assert all(r.round_trip and r.n_pieces == len(r.ids) // 4 and r.ids_crc32 == zlib.crc32(r.ids) and r.place == "x" for r in got)
+        assert all(r.decoded_crc32 == zlib.crc32((r.path or "").encode()) for r in got)
+
+
+def test_merges_that_wait(spark):
+    """Random tables of merges: edges whose parts are put together only by worse merges are tried again."""
+    rng = random.Random(11)
+    for seed in range(4):
+        names = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(2, 6))) for _ in range(60)})
+        rng.shuffle(names)
+        scores = [-(i // (1 + seed)) for i in range(len(names))]  # with ties among pieces
+        text = {p: (i, float(s)) for i, (p, s) in enumerate(zip(names, scores))} | {c: (100 + i, -1000.0) for i, c in enumerate("abc")}
+        toy = pieces.Pieces(pieces.BPE, text, 200, None, [b""] * 201)
+        some = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 14))) for _ in range(150)} | {"zaz"}
+        got = pieces.encode_words(spark.createDataFrame([(w,) for w in some], "word string"), toy).collect()
+        assert len(got) == len(some)
+        for r in got:
+            assert toy.lookup[np.array(r.path)].tolist() == toy._merges(r.word), r.word
+
+
+def test_models_that_are_refused(tmp_path):
+    path = tokenizer_files.path("piece_bpe_32k.model")
+    raw = open(path, "rb").read()
+    head, rules = raw[:-20], raw[-20:]  # the normaliser's part is the last
+    assert b"identity" in rules
+    for other in (rules.replace(b"identity", b"nmt_nfkc"), rules.replace(b"\x18\x01 \x00", b"\x18\x00 \x00")):
+        (tmp_path / "m.model").write_bytes(head + other)
+        with pytest.raises(ValueError, match="normaliser"):
+            pieces.Pieces.load(str(tmp_path / "m.model"))
+
+
+def test_windows_of_a_long_text(monkeypatch):
+    table = pieces.pieces(tokenizer_files.path("piece_bpe_32k.model"))
+    text = "the  quick brown fox 12, " * 40 + "é漢 x" * 30
+    whole = [w for s in table.segments(text) for w in s]
+    monkeypatch.setattr(pieces, "WINDOW", 50)
+    parts = list(table.windows(" " + text))
+    assert len(parts) > 10 and "".join(parts) == " " + text
+    assert "".join(w for s in table.segments(text) for w in s) == "".join(whole)
 
 
 def test_viterbi_on_a_toy_unigram_table(spark):
     rng = random.Random(7)
-    toy = object.__new__(pieces.Pieces)
-    toy.kind, toy.unknown, toy.first_byte, toy.longest = pieces.UNIGRAM, 0, None, 4
     names = ["a", "b", "c", "ab", "bc", "abc", "ca", "aa", "abca", "cc"]
-    toy.text = {p: (i + 1, round(-rng.random() * 5, 3)) for i, p in enumerate(names)}
-    toy.bytes_of = [b"?"] + [p.encode() for p in names]
+    scores = {p: (i + 1, round(-rng.random() * 5, 3)) for i, p in enumerate(names)}
+    toy = pieces.Pieces(pieces.UNIGRAM, scores, 0, None, [b"?"] + [p.encode() for p in names])
     some = ["".join(rng.choice("abcz") for _ in range(rng.randint(1, 9))) for _ in range(60)]
     floor = min(s for _, s in toy.text.values()) - 10
 
@@ -473,7 +511,7 @@ def test_viterbi_on_a_toy_unigram_table(spark):
                     out = (s + rest[0], [i, *rest[1]])
         return out
 
-    got = {r.word: r.ids for r in pieces.encode_words(spark.createDataFrame([(w,) for w in set(some)], "word string"), ["word"], toy).collect()}
+    got = {r.word: toy.lookup[np.array(r.path)].tolist() for r in pieces.encode_words(spark.createDataFrame([(w,) for w in set(some)], "word string"), toy).collect()}
     score = lambda ids: sum(floor if i == 0 else toy.text[names[i - 1]][1] for i in ids)
     for w in some:
         assert abs(score(got[w]) - best(w)[0]) < 1e-9 and abs(score(toy.encode_long(w)) - best(w)[0]) < 1e-9
