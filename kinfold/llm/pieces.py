@@ -95,6 +95,7 @@ class Pieces:
         if self.mask_bits < 16:
             raise ValueError("too many pieces, or pieces of one score, for this lattice")
         self.none = (1 << code_bits) - 1
+        self.number_bits = (self.none + 258).bit_length()
         self.lookup = np.full((1 << code_bits) + 257, unknown, np.uint32)
         for t, c in self.code.items():
             self.lookup[c] = text[t][0]
@@ -429,9 +430,9 @@ def _cut(model: str, folder: str):  # noqa: ANN202
             yield pa.RecordBatch.from_arrays([pa.array((chunk << PLACE_BITS) + np.array(some, np.int64)), pa.array([words[k] for k in some], pa.string())], names=["place", "word"])
             held.clear()
             index.clear()
-            index[""]  # a row that stands for the chunk
+            index[" "]  # each chunk has a row, whatever its texts
 
-        index[""]
+        index[" "]
         size = 0
         for b in batches:
             if not b.num_rows:
@@ -452,6 +453,31 @@ def _cut(model: str, folder: str):  # noqa: ANN202
     return run
 
 
+def _packed(path: Column, table: Pieces) -> tuple[Column, Column]:
+    """A path as a long of its first numbers (258 more than they are, so that none is 0) and an array of the others, mostly
+    null: half the bytes of an array in the shuffle."""
+    bits, many = table.number_bits, 63 // table.number_bits
+    one = lambda i: _left(F.coalesce(F.get(path, F.lit(i)) + 258, F.lit(0)).cast("long"), bits * i)
+    return sum((one(i) for i in range(1, many)), one(0)), F.when(F.size(path) > many, F.slice(path, many + 1, F.size(path)))
+
+
+def _unpacked(first: np.ndarray, others: pa.ListArray, table: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """``(sizes, numbers)`` of packed paths."""
+    bits, many = table.number_bits, 63 // table.number_bits
+    numbers = first[:, None] >> (bits * np.arange(many)) & (1 << bits) - 1
+    have = numbers > 0
+    n = have.sum(axis=1)
+    cuts, rest = others.offsets.to_numpy().astype(np.int64), others.values.to_numpy(zero_copy_only=False)
+    more = np.diff(cuts)
+    size = n + more
+    start = _starts(size)
+    out = np.empty(int(size.sum()), np.int64)
+    out[(start[:, None] + np.arange(many))[have]] = numbers[have] - 258
+    rest = rest[cuts[0] : cuts[-1]]
+    out[np.repeat(start + n - _starts(more), more) + np.arange(len(rest))] = rest
+    return size, out
+
+
 def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     ends = np.cumsum(sizes)
     return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
@@ -511,10 +537,12 @@ def _assemble(model: str, folder: str, with_ids: bool):  # noqa: ANN202
                     yield pa.RecordBatch.from_arrays([b.column(0), *out, *(b.column(i) for i in range(1, keep))], names=[b.schema.names[0], *names, *b.schema.names[1:keep]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pieces(model)
         chunk, places, sizes, flats = None, [], [], []
         for b in batches:
-            place, lists = b.column(0).to_numpy(), b.column(1)
-            values, cuts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy().astype(np.int64)
+            place = b.column(0).to_numpy()
+            size, values = _unpacked(b.column(1).to_numpy(), b.column(2), table)
+            cuts = np.concatenate([[0], np.cumsum(size)])
             whose = place >> PLACE_BITS
             edges = np.concatenate([[0], np.flatnonzero(whose[1:] != whose[:-1]) + 1, [len(whose)]])
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
@@ -525,7 +553,7 @@ def _assemble(model: str, folder: str, with_ids: bool):  # noqa: ANN202
                         yield from chunk_rows(chunk, places, sizes, flats)
                     chunk, places, sizes, flats = int(whose[lo]), [], [], []
                 places.append(place[lo:hi])
-                sizes.append(np.diff(cuts[lo : hi + 1]))
+                sizes.append(size[lo:hi])
                 flats.append(values[cuts[lo] : cuts[hi]])
         if chunk is not None:
             yield from chunk_rows(chunk, places, sizes, flats)
@@ -548,8 +576,7 @@ def encode_documents(docs: DataFrame, model: str, *, key: str = "doc_id", text:
     3. The paths meet again by chunk and are put together there; ids are decoded by the piece table.
 
     Nothing is held that grows with the corpus: a worker has the segments of one chunk.  Files are named by task and order
-    and written whole, so a task that runs again leaves the same.  Segments of more than ``table.most`` characters (47
-    less the model's bits for equal scores) are encoded by the same rules in Python, once for each chunk.
+    and written whole, so a task that runs again leaves the same.  Segments of more than ``table.most`` characters are encoded by the same rules in Python, once for each chunk.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -561,11 +588,13 @@ def encode_documents(docs: DataFrame, model: str, *, key: str = "doc_id", text:
     store.create_dir(path)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), *carry, F.col(text).alias("_text"))
     lists = rows.mapInArrow(_cut(model, folder), "place long, word string").repartition(LATTICE_TASKS * partitions(spark), "word")
-    # the first place is carried along so that both sides read one exchange
+    # this holds for all rows; said here, both sides of the join have the same filter and read one exchange, and so they
+    # do as the first place is carried along
+    lists = lists.where(F.length("word").between(1, table.most) & F.col("place").isNotNull())
     firsts = lists.groupBy("word").agg(F.min("place").alias("_first"))
-    paths = encode_words(firsts, table, ("word", "_first")).withColumnRenamed("word", "_w")
-    joined = lists.join(paths.hint("shuffle_hash"), (F.col("word") == F.col("_w")) & (F.col("place") >= F.col("_first")), "left")
-    joined = joined.select("place", F.coalesce("path", F.array().cast("array<int>")).alias("path"))
+    first, others = _packed(F.col("path"), table)
+    paths = encode_words(firsts, table, ("word", "_first")).select(F.col("word").alias("_w"), "_first", first.alias("first"), others.alias("others"))
+    joined = lists.join(paths.hint("shuffle_hash"), (F.col("word") == F.col("_w")) & (F.col("place") >= F.col("_first"))).select("place", "first", "others")
     dealt = joined.repartition(partitions(spark), _right(F.col("place"), PLACE_BITS)).sortWithinPartitions("place")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     extra = "".join(f", `{c}` {kinds[c]}" for c in carry)
