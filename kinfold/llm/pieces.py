@@ -71,8 +71,9 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Pieces:
     """A piece table: ``text`` has a piece's id and score, ``bytes_of`` the bytes that an id spells.
 
-    Pieces are numbered by ``code``: the rank of the score, and a number among pieces of equal score.  ``lookup`` turns a
-    code into an id; the entries from its end stand for what has no piece: byte ``b`` at ``-1 - b``, unknown at ``-257``.
+    Pieces are numbered by ``code``: the rank of the score, or beyond all ranks a number for others of an equal score.
+    ``lookup`` turns a code into an id; the entries from its end stand for what has no piece: byte ``b`` at ``-1 - b``,
+    unknown at ``-257``.
     """
 
     def __init__(self, kind: int, text: dict[str, tuple[int, float]], unknown: int, first_byte: int | None, bytes_of: list[bytes]) -> None:
@@ -83,27 +84,37 @@ class Pieces:
         self.by_class = all(ONE_CLASS.fullmatch(t) for t in text if not OTHER.search(t))
         self.by_space = all(" " not in t.lstrip(" ") for t in text)
         ranks = {s: k for k, s in enumerate(sorted({s for _, s in text.values()}, reverse=True))}
-        self.tie_bits = (max(Counter(s for _, s in text.values()).values()) - 1).bit_length()
+        self.ranks, self.tie_bits = len(ranks), (max(Counter(s for _, s in text.values()).values()) - 1).bit_length()
+        # an edge of the lattice is one long: rank, the bits of its two ends, number among equals
+        self.mask_bits = 63 - self.tie_bits - self.ranks.bit_length()
+        if self.mask_bits < 16:
+            raise ValueError("too many pieces, or pieces of one score, for this lattice")
+        # equals are counted from the end of the ranks that has them, so that codes stay small
+        tied = [ranks[s] for s, n in Counter(s for _, s in text.values()).items() if n > 1] or [0]
+        self.sign, self.base = (1, 0) if max(tied) < self.ranks - min(tied) else (-1, self.ranks - 1)
         turn: Counter = Counter()
         self.code: dict[str, int] = {}
+        self.edge: dict[str, int] = {}
         for t, (_, s) in sorted(text.items(), key=lambda x: x[1][0]):
-            self.code[t] = ranks[s] << self.tie_bits | turn[s]
+            r, k = ranks[s], turn[s]
+            self.edge[t] = r << (self.mask_bits + self.tie_bits) | k
+            self.code[t] = r if k == 0 else self.beyond(r, k)
             turn[s] += 1
-        code_bits = (len(ranks) << self.tie_bits).bit_length()
-        # an edge of the lattice is one long: rank, the bits of its two ends, number among equals
-        self.mask_bits = 63 - code_bits
-        if self.mask_bits < 16:
-            raise ValueError("too many pieces, or pieces of one score, for this lattice")
-        self.none = (1 << code_bits) - 1
-        self.number_bits = (self.none + 258).bit_length()
-        self.lookup = np.full((1 << code_bits) + 257, unknown, np.uint32)
+        #: Stands for a character that has no piece, after all other edges.
+        self.none = self.ranks << (self.mask_bits + self.tie_bits)
+        self.lookup = np.full(max(self.ranks + 1, *self.code.values()) + 258, unknown, np.uint32)
         for t, c in self.code.items():
             self.lookup[c] = text[t][0]
         if first_byte is not None:
             self.lookup[-256:] = np.arange(first_byte + 255, first_byte - 1, -1)
+        self.number_bits = (len(self.lookup) + 1).bit_length()
         self.spell_at = np.concatenate([[0], np.cumsum([len(x) for x in bytes_of])])
         self.spell = np.frombuffer(b"".join(bytes_of), np.uint8)
 
+    def beyond(self, rank, turn):  # noqa: ANN001, ANN201
+        """Code of a piece that is not the first of its score (of numbers or columns)."""
+        return (rank - self.base) * (self.sign * ((1 << self.tie_bits) - 1)) + (turn + self.ranks)
+
     @property
     def most(self) -> int:
         """Characters of the longest segment that a lattice takes (its boundaries are bits)."""
@@ -135,8 +146,8 @@ class Pieces:
         return Pieces(trainer.get(3, UNIGRAM), text, model.unk_id(), byte[0] if len(byte) == 256 else None, bytes_of)
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        """``piece, code, score``: a table of the vocabulary's size."""
-        return spark.createDataFrame([(t, self.code[t], s) for t, (_, s) in self.text.items()], "piece string, code long, score double")
+        """``piece, edge, code, score``: a table of the vocabulary's size."""
+        return spark.createDataFrame([(t, self.edge[t], self.code[t], s) for t, (_, s) in self.text.items()], "piece string, edge long, code int, score double")
 
     def windows(self, text: str) -> Iterator[str]:
         """A long text in parts, cut before a space that follows another character: no piece reaches across."""
@@ -247,16 +258,13 @@ class Edges:
     Sorted, the best score comes first, then the leftmost."""
 
     def __init__(self, table: Pieces) -> None:
-        self.tie, self.bits = table.tie_bits, table.mask_bits
+        self.table, self.tie, self.bits = table, table.tie_bits, table.mask_bits
         self.low = F.lit((1 << self.tie) - 1).cast("long")
         self.span = F.lit((1 << self.bits) - 1).cast("long")
-        self.none = table.none
-
-    def pack(self, code: Column, ends: Column) -> Column:
-        return _left(_right(code, self.tie), self.bits + self.tie) + _left(ends, self.tie) + code.bitwiseAND(self.low)
 
     def code(self, e: Column) -> Column:
-        return (_left(_right(e, self.bits + self.tie), self.tie) + e.bitwiseAND(self.low)).cast("int")
+        rank, turn = _right(e, self.bits + self.tie).cast("int"), e.bitwiseAND(self.low).cast("int")
+        return F.when(turn == 0, rank).otherwise(self.table.beyond(rank, turn)) if self.tie else rank
 
     def ends(self, e: Column) -> Column:
         x = _right(e, self.tie) if self.tie else e
@@ -342,14 +350,14 @@ def encode_words(words: DataFrame, table: Pieces, keys: tuple[str, ...] = ("word
     by, n = Edges(table), F.length("word")
     spans = [(k, s, m, (1 << s) | (1 << (s + m))) for k in range(1, most + 1) for s in range(k) for m in range(1, min(wide, k - s) + 1)]
     spans = spark.createDataFrame(spans, "_n int, start int, len int, ends long")
-    names = table.frame(spark).select(F.xxhash64("piece").alias("_h"), F.col("piece").alias("_p"), "code", "score")
+    names = table.frame(spark).select(F.xxhash64("piece").alias("_h"), F.col("piece").alias("_p"), "edge", "code", "score")
     cut = words.where(n.between(1, most)).select(*keys, n.alias("_n")).join(F.broadcast(spans), "_n")
     cut = cut.select(*keys, "start", "len", "ends", F.substring(F.col("word"), F.col("start") + 1, F.col("len")).alias("piece"))
     # the join is by a hash, as a long finds its row faster than a string; the strings are compared too
     known = cut.withColumn("_h", F.xxhash64("piece")).join(F.broadcast(names), "_h", "left")
     same = F.col("_p") == F.col("piece")
-    known = known.select(*keys, "start", "len", "ends", F.when(same, F.col("code")).alias("code"), F.when(same, F.col("score")).alias("score")).where(F.col("code").isNotNull() | (F.col("len") == 1))
-    code = F.coalesce("code", F.lit(by.none).cast("long"))
+    known = known.select(*keys, "start", "len", "ends", *(F.when(same, F.col(c)).alias(c) for c in ("edge", "code", "score"))).where(F.col("edge").isNotNull() | (F.col("len") == 1))
+    none = table.ranks  # the code of what has no piece
 
     def spelled(at: Column) -> Column:
         raw = F.encode(F.substring(F.col("word"), at, F.lit(1)), "UTF-8")
@@ -359,20 +367,20 @@ def encode_words(words: DataFrame, table: Pieces, keys: tuple[str, ...] = ("word
 
     if table.kind == UNIGRAM:
         floor = min(s for _, s in table.text.values()) - 10.0
-        edge = F.struct((F.col("start") + F.col("len")).alias("stop"), "start", "len", F.coalesce("score", F.lit(floor)).alias("score"), code.cast("int").alias("code"))
+        edge = F.struct((F.col("start") + F.col("len")).alias("stop"), "start", "len", F.coalesce("score", F.lit(floor)).alias("score"), F.coalesce("code", F.lit(none)).alias("code"))
         lattice = known.groupBy(*keys).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
         on = lambda m: F.filter("edges", lambda e: (m.bitwiseAND(_left(_left(F.lit(1).cast("long"), e["len"] + 1) - 1, e["start"]))) == _left(F.lit(1).cast("long"), e["start"]) + _left(F.lit(1).cast("long"), e["stop"]))
         chosen = _with(viterbi_fold(F.col("edges"), n), lambda m: F.array_sort(F.transform(on(m), lambda e: F.struct(e["start"].alias("at"), e["code"].alias("code")))))
     else:
-        lattice = known.select(*keys, by.pack(code, F.col("ends")).alias("e")).groupBy(*keys).agg(F.sort_array(F.collect_list("e")).alias("edges"))
+        lattice = known.select(*keys, (F.coalesce("edge", F.lit(table.none)) + _left(F.col("ends"), by.tie)).alias("e")).groupBy(*keys).agg(F.sort_array(F.collect_list("e")).alias("edges"))
         # every character has an edge, and the fold needs the longer ones alone
         longer = F.filter("edges", lambda e: by.ends(e).bitwiseAND(by.ends(e) * F.lit(2)) == 0)
         low = lambda p: F.bit_count(p.bitwiseAND(-p) - 1).cast("int")
         on = lambda m: F.filter("edges", lambda e: by.meets(m, e) & (by.inside(m, e) == 2))
         chosen = _with(merge_fold(longer, n, by), lambda m: F.array_sort(F.transform(on(m), lambda e: F.struct(low(by.ends(e)).alias("at"), by.code(e).alias("code")))))
     plain = lambda c: F.transform(c, lambda x: x["code"])
-    mixed = lambda c: F.flatten(F.transform(c, lambda x: F.when(x["code"] == by.none, spelled(x["at"] + 1)).otherwise(F.array(x["code"]))))
-    path = _with(chosen, lambda c: F.when(F.exists(c, lambda x: x["code"] == by.none), mixed(c)).otherwise(plain(c)))
+    mixed = lambda c: F.flatten(F.transform(c, lambda x: F.when(x["code"] == none, spelled(x["at"] + 1)).otherwise(F.array(x["code"]))))
+    path = _with(chosen, lambda c: F.when(F.exists(c, lambda x: x["code"] == none), mixed(c)).otherwise(plain(c)))
     return lattice.select(*keys, path.alias("path"))
 
 
@@ -413,6 +421,12 @@ def _cut(model: str, folder: str):  # noqa: ANN202
         def flush() -> Iterator[pa.RecordBatch]:
             chunk = part << CHUNK_BITS | next(numbers)
             words = list(index)
+            # frequent segments get small numbers, whose upper bytes are the same: fewer bytes in the file
+            flat = [b.column(b.num_columns - 1).values.to_numpy(zero_copy_only=False) for b in held]
+            often = np.argsort(-np.sum([np.bincount(x, minlength=len(words)) for x in flat], axis=0), kind="stable")
+            number = np.empty(len(words), np.int32)
+            number[often] = np.arange(len(words), dtype=np.int32)
+            words = [words[k] for k in often.tolist()]
             if len(words) >> PLACE_BITS or chunk >> (62 - PLACE_BITS) or chunk & (1 << CHUNK_BITS) - 1 == (1 << CHUNK_BITS) - 1:
                 raise ValueError("a task has too many texts; deal them over more partitions")
             long = [k for k, w in enumerate(words) if len(w) > table.most]
@@ -421,9 +435,10 @@ def _cut(model: str, folder: str):  # noqa: ANN202
                 _put(f"{_file(folder, chunk)}.long", lambda out: pq.write_table(ids, out, compression="zstd"))
 
             def rows(out) -> None:  # noqa: ANN001
-                with pq.ParquetWriter(out, held[0].schema, compression="zstd", use_dictionary=[f.name for f in held[0].schema if f.name != "_segments"], column_encoding={"_segments.list.element": "BYTE_STREAM_SPLIT"}) as w:
-                    for b in held:
-                        w.write_batch(b)
+                with pq.ParquetWriter(out, held[0].schema, compression="zstd", compression_level=3, use_dictionary=[f.name for f in held[0].schema if f.name != "_segments"], column_encoding={"_segments.list.element": "BYTE_STREAM_SPLIT"}) as w:
+                    for b, x in zip(held, flat, strict=True):
+                        lists = pa.ListArray.from_arrays(b.column(b.num_columns - 1).offsets, pa.array(number[x]))
+                        w.write_batch(b.set_column(b.num_columns - 1, b.schema.field(b.num_columns - 1), lists))
 
             _put(_file(folder, chunk), rows)
             some = [k for k, w in enumerate(words) if len(w) <= table.most]
