@@ -1,4 +1,4 @@
-"""Near-duplicate documents by word n-gram Jaccard similarity: a prefix-filtered join verified on prefix trees."""
+"""Near-duplicate documents by word n-gram Jaccard similarity: a join on prefix trees."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm.bytestext import U64, mix, row_blocks, shingle_sets, text_bytes
@@ -21,8 +21,17 @@ BLOCK = 2 << 20
 FREQUENT, TASK_FREQUENT = 1 << 19, 1 << 17
 #: Rounds of stars before the remaining pairs are counted.
 STARS = 2
-#: Members that one traversal of a prefix tree has.
-JOB = 256
+#: Members that a tree has when pairs are verified, and documents of one tree when candidates are sought.
+JOB, TREE = 256, 2048
+#: n-grams of a path beyond the one that a tree is about (what lies further counts as shared until it is verified).
+LOOK = 128
+#: Candidates that a document has of one tree in the first round; each later round takes eight times as many more.
+FIRST_ROUND = 16
+#: Cells of a block of queries and n-grams, or of queries and nodes.
+CELLS = 4 << 20
+#: Keys of frequent n-grams lie above all others.
+LATE = 1 << 62
+PAD = (1 << 63) - 1
 
 CONST = U64(0xA0761D6478BD642F)
 
@@ -73,48 +82,59 @@ class Order:
         at = np.argsort(keys)
         self.keys, self.rank = keys[at], at
 
-    def sort(self, s: np.ndarray) -> np.ndarray:
+    def split(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a set sorted by hash: the others, then the frequent ones, rarest first, and their ranks."""
         if not len(self.keys) or not len(s):
-            return s
+            return s, s[:0], np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
         late = self.keys[at] == s
-        if not late.any():
-            return s
-        # the list is most frequent first, so larger ranks are rarer and come first
-        return np.concatenate([s[~late], s[late][np.argsort(-self.rank[at[late]])]])
+        rank = self.rank[at[late]]
+        turn = np.argsort(-rank)  # the list is most frequent first, so larger ranks are rarer
+        return s[~late], s[late][turn], rank[turn]
+
+    def sort(self, s: np.ndarray) -> np.ndarray:
+        return np.concatenate(self.split(s)[:2])
+
+    def sort_keys(self, s: np.ndarray) -> np.ndarray:
+        """The set as numbers whose order is the global one.  Two of the hash's bits are left out: n-grams that agree in
+        the others count as one here, which makes candidates more, never fewer."""
+        rare, _, rank = self.split(s)
+        return np.concatenate([(rare >> U64(2)).astype(np.int64), LATE + len(self.keys) - rank])
 
 
 def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def _digests(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    sums = ([int(mix(s ^ c).sum(dtype=U64)) for s in sets] for c in (U64(0), CONST))
+    return tuple(pa.array(np.array(x, U64).view(np.int64)) for x in sums)
+
+
 def _prefixes(order: Order, width: int, percent: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, h1, h2, pre = [], [], [], []
-            for _, s in _sets(b, 1, width):
-                n.append(len(s))
-                h1.append(int(mix(s).sum(dtype=U64)))
-                h2.append(int(mix(s ^ CONST).sum(dtype=U64)))
-                pre.append(order.sort(s)[: len(s) - least_overlap(len(s), percent) + 1 if len(s) else 0])
-            at = np.concatenate([[0], np.cumsum([len(p) for p in pre])]).astype(np.int32)
-            flat = np.concatenate(pre).view(np.int64) if pre else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": b.column(0),
-                "n": pa.array(n, pa.int32()),
-                "h1": pa.array(np.array(h1, U64).view(np.int64)),
-                "h2": pa.array(np.array(h2, U64).view(np.int64)),
-                "prefix": pa.ListArray.from_arrays(pa.array(at), pa.array(flat)),
-            })
+            sets = [s for _, s in _sets(b, 1, width)]
+            pre = [order.sort_keys(s)[: len(s) - least_overlap(len(s), percent) + 1 if len(s) else 0] for s in sets]
+            at = np.concatenate([[0], np.cumsum([len(x) for x in pre])]).astype(np.int32)
+            flat = np.concatenate(pre) if pre else np.zeros(0, np.int64)
+            h1, h2 = _digests(sets)
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array(map(len, sets), pa.int32()), "h1": h1, "h2": h2, "prefix": pa.ListArray.from_arrays(pa.array(at), pa.array(flat))})
 
     return run
 
 
+#: Number of a set: equal sets have the same.
+VERTEX = ("n", "h1", "h2")
+
+
 def _ordered_sets(order: Order, width: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            grams = [order.sort(s).astype(">u8").tobytes() for _, s in _sets(b, 1, width)]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "grams": pa.array(grams, pa.binary())})
+            sets = [s for _, s in _sets(b, 1, width)]
+            grams = [order.sort(s).astype(">u8").tobytes() for s in sets]
+            h1, h2 = _digests(sets)
+            yield pa.RecordBatch.from_pydict({"n": pa.array(map(len, sets), pa.int32()), "h1": h1, "h2": h2, "grams": pa.array(grams, pa.binary())})
 
     return run
 
@@ -127,13 +147,15 @@ def _wanted(bits: np.ndarray):  # noqa: ANN202
     return run
 
 
-def sets_of(pairs: DataFrame, rows: DataFrame, order: Order, width: int) -> DataFrame:
-    """The globally ordered sets of the documents in ``pairs``, from their texts.  A fixed-size bitmap of their keys
-    keeps most other texts out of the shuffle of the semi-join."""
-    ids = pairs.select(F.explode(F.array("q", "m")).alias("doc_id")).distinct()
+def sets_of(pairs: DataFrame, classes: DataFrame, rows: DataFrame, order: Order, width: int) -> DataFrame:
+    """``v, grams``: the globally ordered sets of the vertices in ``pairs``, from the texts of their representatives.  A
+    fixed-size bitmap of their keys keeps most other texts out of the shuffle of the semi-join."""
+    asked = pairs.select(F.explode(F.array("q", "m")).alias("v")).distinct().join(classes.select("v", "rep"), "v")
+    ids = asked.select(F.col("rep").alias("doc_id")).distinct()
     some = rows.where("doc_id IS NOT NULL").mapInArrow(_wanted(key_bits(ids, id_slot("doc_id"))), "doc_id long, text string")
     texts = some.join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
-    return materialise(texts.mapInArrow(_ordered_sets(order, width), "doc_id long, grams binary"), "ngram-sets")
+    sets = texts.mapInArrow(_ordered_sets(order, width), "n int, h1 long, h2 long, grams binary").select(F.xxhash64(*VERTEX).alias("v"), "grams")
+    return materialise(sets.join(asked.select("v").hint("shuffle_hash"), "v", "left_semi").dropDuplicates(["v"]), "ngram-sets")
 
 
 def possible(percent: int) -> F.Column:
@@ -227,29 +249,190 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     its own prefix tree, so a query with very many members fills no task."""
     count = pairs.groupBy("q").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > JOB)
     jobs = pairs.join(count, "q", "left").select("q", "m", F.pmod(F.xxhash64("m"), F.ceil(F.coalesce("_n", F.lit(1)) / F.lit(JOB)).cast("long")).cast("int").alias("part"))
-    members = jobs.join(sets, jobs["m"] == sets["doc_id"]).select("q", "part", "m", "grams")
+    members = jobs.join(sets, jobs["m"] == sets["v"]).select("q", "part", "m", "grams")
     heads = jobs.select("q", "part").distinct()
-    heads = heads.join(sets, heads["q"] == sets["doc_id"]).select("q", "part", F.lit(None).cast("long").alias("m"), "grams")
+    heads = heads.join(sets, heads["q"] == sets["v"]).select("q", "part", F.lit(None).cast("long").alias("m"), "grams")
     rows = heads.unionByName(members).repartition("q", "part").sortWithinPartitions("q", "part", F.col("m").asc_nulls_first())
     return rows.mapInArrow(_verify(percent), "q long, m long")
 
 
+class PathTree:
+    """A trie of the documents that share an n-gram: each one's path holds the n-grams of its prefix that follow that one and
+    that documents of other components have too.  Kept flat: paths in lexicographic order, and per depth the nodes
+    as ranges of them, with what bounds all documents below a node."""
+
+    def __init__(self, paths: list[np.ndarray], places: list[np.ndarray], n: np.ndarray, at: np.ndarray) -> None:
+        m, depth = len(paths), max(map(len, paths)) + 1  # the last column is padding, so every path ends
+        keys = np.full((m, depth), PAD, np.int64)
+        left = np.repeat((n - at - 1)[:, None], depth, axis=1)
+        for i, (k, p) in enumerate(zip(paths, places, strict=True)):
+            keys[i, : len(k)] = k
+            left[i, : len(k)] = n[i] - p - 1
+        self.order = np.lexsort(keys.T[::-1])
+        keys, left, n = keys[self.order], left[self.order], n[self.order]
+        self.names, local = np.unique(keys, return_inverse=True)
+        local = local.reshape(keys.shape)
+        self.levels = []
+        new = np.zeros(m, bool)
+        new[0] = True
+        for d in range(depth):
+            new = new.copy()
+            new[1:] |= keys[1:, d] != keys[:-1, d]
+            lo = np.flatnonzero(new)
+            self.levels.append((lo, np.append(lo[1:], m), keys[lo, d], local[lo, d], np.maximum.reduceat(left[:, d], lo), np.minimum.reduceat(n, lo), np.maximum.reduceat(n, lo)))
+
+    def walk(self, paths: list[np.ndarray], n: np.ndarray, end: np.ndarray, beyond: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """All queries go down together, a depth at a time: ``(query, first, last, shared)`` where a walk ends.
+
+        A node's ``shared`` is its parent's, plus one if the query has its n-gram.  Below it no document can share more
+        than what it has left, so a subtree goes when that is too few, or its sizes do not suit.  Beyond the end of the
+        query's own prefix nothing is known of what it shares, and the walk ends.
+        """
+        has = np.zeros((len(paths), len(self.names)), bool)
+        for i, k in enumerate(paths):
+            has[i, np.searchsorted(self.names, k)] = True
+        q = np.repeat(np.arange(len(paths)), len(self.levels[0][0]))
+        node = np.tile(np.arange(len(self.levels[0][0])), len(paths))
+        shared = np.zeros(len(q), np.int64)
+        for d, (lo, hi, key, name, left, least, most) in enumerate(self.levels):
+            sizes = (percent * n[q] <= 100 * most[node]) & (percent * least[node] <= 100 * n[q]) & (most[node] >= n[q])
+            q, node, shared = q[sizes], node[sizes], shared[sizes]
+            out = (key[node] > end[q]) | (key[node] == PAD)
+            yield q[out], lo[node[out]], hi[node[out]], shared[out]
+            q, node, shared = q[~out], node[~out], shared[~out]
+            if not len(q):
+                return
+            shared = shared + has[q, name[node]]
+            need = -(-percent * (n[q] + least[node]) // (100 + percent))
+            stay = 1 + shared + beyond[q] + left[node] >= need
+            q, node, shared = q[stay], node[stay], shared[stay]
+            nxt = self.levels[d + 1][0]  # the padding ends every path before the levels do
+            first = np.searchsorted(nxt, lo[node])
+            many = np.searchsorted(nxt, hi[node]) - first
+            ends = np.cumsum(many)
+            node = np.repeat(first - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)
+            q, shared = np.repeat(q, many), np.repeat(shared, many)
+
+
+def tree_pairs(rows: list[list], percent: int, skip: int, keep: int, across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates ``(query, other)`` among documents of one tree that lie in different components, and the queries that
+    have more of them than were taken.  Columns: document, size, component, place of the shared n-gram, end of the prefix,
+    path, places of the path, n-grams beyond the path, block (``across``: only pairs of two blocks), and the component now.
+    Ranks disregard what rounds have joined since the first, so that each candidate has its turn in one round."""
+    doc, n, comp, at, end, beyond, block, now = (np.array(rows[k], np.int64) for k in (0, 1, 2, 3, 4, 7, 8, 9))
+    paths, places = [np.array(x, np.int64) for x in rows[5]], [np.array(x, np.int64) for x in rows[6]]
+    tree = PathTree(paths, places, n, at)
+    rest = -(-percent * n // 100) - 1  # what a set has beyond its prefix
+    found: list[tuple[np.ndarray, ...]] = []
+    step = max(1, CELLS // max(len(tree.names), len(doc)))
+    for a in range(0, len(doc), step):
+        own = slice(a, a + step)
+        for q, lo, hi, shared in tree.walk(paths[own], n[own], end[own], beyond[own], percent):
+            if not len(q):
+                continue
+            many = hi - lo
+            ends = np.cumsum(many)
+            y = tree.order[np.repeat(lo - (ends - many), many) + np.arange(int(ends[-1]))]
+            x, shared = np.repeat(q, many) + a, np.repeat(shared, many)
+            good = (comp[x] != comp[y]) & ((n[x] < n[y]) | ((n[x] == n[y]) & (doc[x] < doc[y]))) & (100 * n[x] >= percent * n[y])
+            if across:
+                good &= block[x] != block[y]
+            x, y, shared = x[good], y[good], shared[good]
+            have = 1 + shared + beyond[x] + beyond[y]
+            # of the two, the set whose prefix ends first has its size less its prefix left
+            ceiling = have + np.where(end[x] <= end[y], rest[x], rest[y])
+            good = ceiling >= -(-percent * (n[x] + n[y]) // (100 + percent))
+            found.append((x[good], y[good], have[good]))
+    if not found:
+        return doc[:0], doc[:0], doc[:0]
+    x, y, have = (np.concatenate(c) for c in zip(*found, strict=True))
+    turn = np.lexsort((doc[y], -have, x))
+    x, y = x[turn], y[turn]
+    first = np.searchsorted(x, x)
+    rank = np.arange(len(x)) - first
+    apart = now[x] != now[y]
+    take = apart & (rank >= skip) & (rank < skip + keep)
+    return doc[x[take]], doc[y[take]], np.unique(doc[x[apart & (rank >= skip + keep)]])
+
+
+def _trees(percent: int, skip: int, keep: int):  # noqa: ANN202
+    """Rows sorted by n-gram and tile: gram, tile (two blocks), and the columns of :func:`tree_pairs`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, cols = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if key is not None and len(cols[0]) > 1:
+                q, m, more = tree_pairs(cols, percent, skip, keep, key[1] != key[2])
+                if len(q) or len(more):
+                    yield pa.RecordBatch.from_pydict({"q": pa.array(np.concatenate([q, more])), "m": pa.array(np.concatenate([m, more])), "more": pa.array(np.arange(len(q) + len(more)) >= len(q))})
+
+        for b in batches:
+            lists = [c.to_pylist() for c in b.columns]
+            for row in zip(*lists, strict=True):
+                if row[:3] != key:
+                    yield from done()
+                    key, cols = row[:3], [[] for _ in row[3:]]
+                for c, v in zip(cols, row[3:], strict=True):
+                    c.append(v)
+        yield from done()
+
+    return run
+
+
+def candidates(open_: DataFrame, labels: DataFrame | None, percent: int, skip: int, keep: int) -> DataFrame:
+    """``q, m, more`` from the trees of the n-grams in ``open_`` (``gram, rep, n, c, pos, end``) whose documents, by
+    ``labels``, are still in different components."""
+    path = F.array_sort(F.collect_list(F.struct("gram", "pos")))
+    whole = open_.groupBy("rep").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.first("end").alias("end"), path.alias("path"))
+    each = whole.select("*", F.posexplode(F.transform("path", lambda x: x["gram"])).alias("_k", "gram"))
+    ahead = F.slice("path", F.col("_k") + 2, F.lit(LOOK))
+    each = each.select(
+        "gram", "rep", "n", "c", F.get("path", F.col("_k"))["pos"].alias("pos"), "end", F.transform(ahead, lambda x: x["gram"]).alias("keys"), F.transform(ahead, lambda x: x["pos"]).alias("places"),
+        F.greatest(F.size("path") - F.col("_k") - 1 - LOOK, F.lit(0)).alias("beyond"),
+    )
+    now = still_open(open_.select("gram", "rep", "c"), labels).withColumnRenamed("c", "now")
+    each = each.join(now, ["gram", "rep"])
+    # an n-gram that very many have is dealt over tiles of two blocks each
+    size = open_.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / F.lit(TREE)).cast("int").alias("blocks")).where("blocks > 1")
+    each = each.join(size, "gram", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    each = each.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
+    others = F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))
+    tiles = each.withColumn("_other", F.explode(others)).withColumns({"i": F.least("block", "_other"), "j": F.greatest("block", "_other")})
+    rows = tiles.select("gram", "i", "j", "rep", "n", "c", "pos", "end", "keys", "places", "beyond", "block", "now")
+    return rows.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j").mapInArrow(_trees(percent, skip, keep), "q long, m long, more boolean")
+
+
+def still_open(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The postings with their components, where an n-gram's documents still lie in different ones."""
+    if labels is not None:
+        named = labels.select(F.col("v").alias("rep"), F.col("component").alias("_c"))
+        postings = postings.join(named, "rep", "left").withColumn("c", F.coalesce("_c", "rep")).drop("_c")
+    mixed = postings.groupBy("gram").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo <> _hi").select("gram")
+    return postings.join(mixed, "gram")
+
+
 def similar_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id`` (smallest doc_id reachable by links).
 
     A document's set holds its distinct word ``width``-grams (words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased) as
     64-bit hashes; a shorter text is one gram; a text without words has none and links with nothing.  Two documents
     link when ``100 * |A & B| >= percent * |A | B|``.  Rows without a key are their own (null) component; rows that
-    share a key are one vertex.
+    share a key are rows of their own, each in the component of its text.  Null and empty texts have no words, equal
+    texts link, an empty table gives an empty result, and other columns are not looked at.
 
     1. Equal sets collapse into one representative, pre-aggregated, whatever the group's size.
     2. Each representative posts the prefix of its globally ordered set that any similar set must touch.
-    3. Per posted gram, all are paired with the document nearest to the middle of its group (a star, not all pairs).
-       Pairs that share enough posted grams to be possible are verified on prefix trees; links give components.
-       ``STARS`` rounds take other middles, each time only among grams that several components share.
-    4. Only grams whose documents then still lie in different components have their remaining pairs counted, bounded
-       and verified, so the result is exact whatever the stars missed.
-    Sets of all documents are never stored: the texts of pairs that are verified are read again.
+    3. ``STARS`` rounds: per posted gram, all are paired with the document nearest to the middle of its group (not with each
+       other); pairs that share enough posted grams are verified.  This joins large groups of copies cheaply.
+    4. The documents of each gram that are then still in different components form a trie of what follows that gram in
+       their prefixes.  All of them walk it together, sharing partial overlaps and leaving subtrees whose remaining
+       lengths are too short (:class:`PathTree`).  What is left at the end of a walk is verified on whole sets.
+       Each document takes its best candidates first; rounds go on until none is left between components, so the
+       result is exact.
+    A gram that very many have is dealt over tiles of ``TREE`` documents.  Only links leave a tree or a verification, and
+    no gram's documents are gathered before they are dealt.  Sets of all documents are never stored: the texts of pairs
+    that are verified are read again.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -259,58 +442,74 @@ def similar_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, key
     order = Order([r.gram for r in top.collect()])
     sized = materialise(rows.mapInArrow(_prefixes(order, width, percent), "doc_id long, n int, h1 long, h2 long, prefix array<long>"), "ngram-prefixes")
 
-    classes = materialise(sized.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "ngram-classes")
-    one = sized.where("n > 0").join(classes.select("n", "h1", "h2", F.col("rep").alias("doc_id")), ["n", "h1", "h2", "doc_id"])
-    posted = one.select(F.col("doc_id").alias("rep"), "n", F.explode("prefix").alias("gram"))
-    by_gram = Window.partitionBy("gram")
-    posted = posted.withColumn("df", F.count(F.lit(1)).over(by_gram)).where("df > 1")
-    shared = materialise(posted.select("gram", "rep", "n", "df"), "ngram-shared")
+    # a vertex is a set, whatever rows have it; rows that share a key but not a text are different vertices
+    named = sized.where("n > 0 AND doc_id IS NOT NULL").withColumn("v", F.xxhash64(*VERTEX))
+    classes = materialise(named.groupBy("v").agg(F.min("doc_id").alias("rep")), "ngram-classes")
+    one = named.join(classes.select("v", F.col("rep").alias("doc_id")), ["v", "doc_id"]).dropDuplicates(["v"])
+    posted = one.select(F.col("v").alias("rep"), "n", F.element_at("prefix", -1).alias("end"), F.posexplode("prefix").alias("pos", "gram"))
+    several = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = materialise(posted.join(several, "gram"), "ngram-shared")
     # the more others share of a document's prefix, the nearer it is to the middle of a group of copies
     middle = shared.groupBy("rep").agg((F.sum("df") / F.max("n")).alias("middle"))
-    open_ = materialise(shared.join(middle, "rep").select("gram", "rep", "n", F.struct("middle", (-F.col("n")).alias("n"), (-F.col("rep")).alias("rep")).alias("m"), F.col("rep").alias("c")), "ngram-open")
+    open_ = materialise(shared.join(middle, "rep").select("gram", "rep", "n", "pos", "end", "middle", F.col("rep").alias("c")), "ngram-open")
+    drop_table(shared)
 
     done: DataFrame | None = None
     used: DataFrame | None = None
     links: DataFrame | None = None
     labels: DataFrame | None = None
-    for turn in range(STARS + 1):
-        if turn < STARS:
-            heads = open_ if used is None else open_.join(used, "rep", "left").withColumn("m", F.when(F.col("used").isNull(), F.col("m")))
-            star = heads.withColumn("_h", F.max("m").over(by_gram))
-            star = star.withColumn("_c", F.max(F.when(F.col("m") == F.col("_h"), F.col("c"))).over(by_gram)).where((F.col("c") != F.col("_c")))
-            pairs = star.select((-F.col("_h.rep")).alias("q"), F.col("rep").alias("m"), (-F.col("_h.n")).alias("nq"), F.col("n").alias("nm"))
-        else:
-            a, b = open_.alias("a"), open_.alias("b")
-            first = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.rep") < F.col("b.rep")))
-            rest = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.c") != F.col("b.c")) & first & (F.lit(100) * F.col("a.n") >= F.lit(percent) * F.col("b.n")))
-            pairs = rest.select(F.col("a.rep").alias("q"), F.col("b.rep").alias("m"), F.col("a.n").alias("nq"), F.col("b.n").alias("nm"))
-        pairs = pairs.groupBy("q", "m", "nq", "nm").agg(F.count(F.lit(1)).alias("together")).where(possible(percent)).select("q", "m")
+
+    def link(pairs: DataFrame) -> None:
+        nonlocal done, links, labels
         if done is not None:
-            both = done.unionByName(done.select(F.col("m").alias("q"), F.col("q").alias("m")))
-            pairs = pairs.join(both, ["q", "m"], "left_anti")
+            pairs = pairs.join(done, ["q", "m"], "left_anti")
         pairs = materialise(pairs, "ngram-pairs")
         if pairs.isEmpty():
-            if turn < STARS:
-                continue
-            break
-        sets = sets_of(pairs, rows, order, width)
+            return
+        sets = sets_of(pairs, classes, rows, order, width)
         found = materialise(verified(pairs, sets, percent), "ngram-links")
         drop_table(sets)
         done = pairs if done is None else done.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
+        if labels is not None:
+            drop_table(labels)
         labels = components(links, "q", "m")
-        if turn < STARS:
-            heads = pairs.select(F.col("q").alias("rep"), F.lit(True).alias("used")).distinct()
-            used = heads if used is None else used.unionByName(heads).distinct()
-            now = open_.drop("c").join(labels.select(F.col("v").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-            now = now.withColumn("_lo", F.min("c").over(by_gram)).withColumn("_hi", F.max("c").over(by_gram)).where("_lo <> _hi").drop("_lo", "_hi")
-            now = materialise(now, "ngram-open")
-            drop_table(open_)
-            open_ = now
-
-    ids = sized.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left")
-    ids = ids.join(labels.select(F.col("v").alias("rep"), "component"), "rep", "left") if labels is not None else ids.withColumn("component", F.lit(None).cast("long"))
-    return ids.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+
+    def renew() -> None:
+        nonlocal open_
+        now = materialise(still_open(open_, labels), "ngram-open")
+        drop_table(open_)
+        open_ = now
+
+    for _ in range(STARS):
+        heads = open_ if used is None else open_.join(used, "rep", "left_anti")
+        heads = heads.groupBy("gram").agg(F.max(F.struct("middle", (-F.col("n")).alias("n"), (-F.col("rep")).alias("rep"), "c")).alias("h"))
+        star = open_.join(heads, "gram").where(F.col("c") != F.col("h.c"))
+        h, hn, r, n = -F.col("h.rep"), -F.col("h.n"), F.col("rep"), F.col("n")
+        first = (hn < n) | ((hn == n) & (h < r))
+        star = star.select(h.alias("h"), *(F.when(first, a).otherwise(b).alias(c) for a, b, c in ((h, r, "q"), (r, h, "m"), (hn, n, "nq"), (n, hn, "nm"))))
+        counted = materialise(star.groupBy("h", "q", "m", "nq", "nm").agg(F.count(F.lit(1)).alias("together")).where(possible(percent)), "ngram-star")
+        link(counted.select("q", "m").distinct())
+        heads = counted.select(F.col("h").alias("rep")).distinct()
+        used = heads if used is None else used.unionByName(heads)
+        renew()
+    skip, keep = 0, FIRST_ROUND
+    while not open_.isEmpty():
+        found = materialise(candidates(open_, labels, percent, skip, keep), "ngram-candidates")
+        link(found.where("NOT more").select("q", "m").distinct())
+        last = found.where("more").isEmpty()
+        drop_table(found)
+        if last:
+            break
+        skip, keep = skip + keep, 8 * keep
+    drop_table(open_)
+
+    if labels is not None:
+        least = classes.join(labels, "v").groupBy("component").agg(F.min("rep").alias("least"))
+        classes = classes.join(labels, "v", "left").join(least, "component", "left").select("v", F.coalesce("least", "rep").alias("rep"))
+    ids = sized.select("doc_id", "n", F.xxhash64(*VERTEX).alias("v")).join(classes, "v", "left")
+    own = F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))
+    return ids.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
 
 def op6_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:

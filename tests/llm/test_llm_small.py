@@ -244,6 +244,43 @@ def test_similar_documents_of_odd_rows(spark):
     got = ngram_join.similar_documents(texts(spark, ODD)).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == sorted([(1, 1), (2, 2), (3, 3), (3, 3), (0, 0), (5, 3), (6, 6), (7, 7), (8, 8)])
     assert ngram_join.similar_documents(texts(spark, [])).count() == 0
+    a, b = "a b c d e f g", "h i j k l m n"
+    got = ngram_join.similar_documents(texts(spark, [(1, a), (3, b), (5, a), (5, b), (5, b)])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (3, 3), (5, 1), (5, 3), (5, 3)]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_similar_documents_by_trees_alone(spark, monkeypatch, small):
+    """Without stars, and with trees, look-ahead and rounds so small that each is exceeded."""
+    monkeypatch.setattr(ngram_join, "STARS", 0)
+    if small:
+        for name, value in (("TREE", 4), ("LOOK", 2), ("FIRST_ROUND", 1), ("CELLS", 50)):
+            monkeypatch.setattr(ngram_join, name, value)
+    rows = near_texts(31, 120)
+    got = ngram_join.similar_documents(texts(spark, rows), width=3, percent=70)
+    assert {tuple(r) for r in got.collect()} == similar(rows, 3, 70)
+
+
+def test_tree_candidates():
+    """Of sets that share their first n-gram, every similar pair is a candidate, once, whatever the cut of the path."""
+    rng = random.Random(5)
+    for percent, look in ((50, 100), (70, 100), (80, 3), (85, 100)):
+        base = [rng.sample(range(10, 200), rng.randint(5, 40)) for _ in range(6)]
+        sets = []
+        for i in range(120):
+            s = set(rng.choice(base)) | {1}
+            for _ in range(rng.randint(0, 6)):
+                s ^= {rng.randrange(10, 200)}
+            sets.append(sorted(s))
+        p = [len(s) - ngram_join.least_overlap(len(s), percent) + 1 for s in sets]
+        after = [s[1:k] for s, k in zip(sets, p, strict=True)]
+        cols = [list(range(120)), [len(s) for s in sets], list(range(120)), [0] * 120, [s[k - 1] for s, k in zip(sets, p, strict=True)], [x[:look] for x in after], [list(range(1, len(x[:look]) + 1)) for x in after], [max(0, len(x) - look) for x in after], [0] * 120, list(range(120))]
+        q, m, more = ngram_join.tree_pairs(cols, percent, 0, 1000, False)
+        pairs = [tuple(sorted(x)) for x in zip(q.tolist(), m.tolist(), strict=True)]
+        want = {(i, j) for j in range(120) for i in range(j) if 100 * len(set(sets[i]) & set(sets[j])) >= percent * len(set(sets[i]) | set(sets[j]))}
+        assert want and want <= set(pairs) and len(pairs) == len(set(pairs)) and not len(more)
+        parts = [ngram_join.tree_pairs(cols, percent, k, 7, False) for k in range(0, 140, 7)]
+        assert sorted(zip(q.tolist(), m.tolist(), strict=True)) == sorted(x for a, b, _ in parts for x in zip(a.tolist(), b.tolist(), strict=True)) and len(parts[0][2])
 
 
 def test_prefix_tree():
