@@ -27,8 +27,8 @@ JOB, TREE = 256, 2048
 LOOK = 128
 #: Candidates that a document has of one tree in the first round; each later round takes eight times as many more.
 FIRST_ROUND = 16
-#: Cells of a block of queries and n-grams, or of queries and nodes.
-CELLS = 4 << 20
+#: Documents of trees that a task walks at once, and the pairs of a query and a document that a walk may begin with.
+FOREST, CELLS = 4096, 1 << 20
 #: Keys of frequent n-grams lie above all others.
 LATE = 1 << 62
 PAD = (1 << 63) - 1
@@ -257,21 +257,21 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 class PathTree:
-    """A trie of the documents that share an n-gram: each one's path holds the n-grams of its prefix that follow that one and
-    that documents of other components have too.  Kept flat: paths in lexicographic order, and per depth the nodes
-    as ranges of them, with what bounds all documents below a node."""
+    """Tries of documents that share an n-gram, side by side under one root: each document's path holds the n-grams of
+    its prefix that follow the shared one and that documents of other components have too.  Kept flat: paths in
+    lexicographic order, and per depth the nodes as ranges of them, with what bounds all documents below a node."""
 
-    def __init__(self, paths: list[np.ndarray], places: list[np.ndarray], n: np.ndarray, at: np.ndarray) -> None:
-        m, depth = len(paths), max(map(len, paths)) + 1  # the last column is padding, so every path ends
+    def __init__(self, tree: np.ndarray, paths: list[np.ndarray], places: list[np.ndarray], n: np.ndarray, at: np.ndarray) -> None:
+        m, depth = len(paths), max(map(len, paths)) + 2  # first the tree, last padding, so every path ends
         keys = np.full((m, depth), PAD, np.int64)
+        keys[:, 0] = tree
         left = np.repeat((n - at - 1)[:, None], depth, axis=1)
         for i, (k, p) in enumerate(zip(paths, places, strict=True)):
-            keys[i, : len(k)] = k
-            left[i, : len(k)] = n[i] - p - 1
+            keys[i, 1 : len(k) + 1] = k
+            left[i, 1 : len(k) + 1] = n[i] - p - 1
         self.order = np.lexsort(keys.T[::-1])
         keys, left, n = keys[self.order], left[self.order], n[self.order]
-        self.names, local = np.unique(keys, return_inverse=True)
-        local = local.reshape(keys.shape)
+        self.names = np.unique(np.concatenate([*paths, np.zeros(0, np.int64)]))
         self.levels = []
         new = np.zeros(m, bool)
         new[0] = True
@@ -279,22 +279,26 @@ class PathTree:
             new = new.copy()
             new[1:] |= keys[1:, d] != keys[:-1, d]
             lo = np.flatnonzero(new)
-            self.levels.append((lo, np.append(lo[1:], m), keys[lo, d], local[lo, d], np.maximum.reduceat(left[:, d], lo), np.minimum.reduceat(n, lo), np.maximum.reduceat(n, lo)))
+            self.levels.append((lo, np.append(lo[1:], m), keys[lo, d], np.maximum.reduceat(left[:, d], lo), np.minimum.reduceat(n, lo), np.maximum.reduceat(n, lo)))
 
-    def walk(self, paths: list[np.ndarray], n: np.ndarray, end: np.ndarray, beyond: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, ...]]:
-        """All queries go down together, a depth at a time: ``(query, first, last, shared)`` where a walk ends.
+    def walk(self, tree: np.ndarray, paths: list[np.ndarray], n: np.ndarray, end: np.ndarray, beyond: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """All queries go down together, each in its own tree, a depth at a time: ``(query, first, last, shared)`` where
+        a walk ends.
 
         A node's ``shared`` is its parent's, plus one if the query has its n-gram.  Below it no document can share more
         than what it has left, so a subtree goes when that is too few, or its sizes do not suit.  Beyond the end of the
         query's own prefix nothing is known of what it shares, and the walk ends.
         """
-        has = np.zeros((len(paths), len(self.names)), bool)
-        for i, k in enumerate(paths):
-            has[i, np.searchsorted(self.names, k)] = True
-        q = np.repeat(np.arange(len(paths)), len(self.levels[0][0]))
-        node = np.tile(np.arange(len(self.levels[0][0])), len(paths))
+        wide = len(self.names) + 1
+        own = np.sort(np.concatenate([i * wide + np.searchsorted(self.names, k) for i, k in enumerate(paths)] + [np.full(1, PAD)]))
+        q, node = np.arange(len(paths)), np.searchsorted(self.levels[0][2], tree)
         shared = np.zeros(len(q), np.int64)
-        for d, (lo, hi, key, name, left, least, most) in enumerate(self.levels):
+        for above, (lo, hi, key, left, least, most) in zip(self.levels, self.levels[1:]):
+            first = np.searchsorted(lo, above[0][node])
+            many = np.searchsorted(lo, above[1][node]) - first
+            ends = np.cumsum(many)
+            node = np.repeat(first - (ends - many), many) + np.arange(int(ends[-1]))
+            q, shared = np.repeat(q, many), np.repeat(shared, many)
             sizes = (percent * n[q] <= 100 * most[node]) & (percent * least[node] <= 100 * n[q]) & (most[node] >= n[q])
             q, node, shared = q[sizes], node[sizes], shared[sizes]
             out = (key[node] > end[q]) | (key[node] == PAD)
@@ -302,41 +306,38 @@ class PathTree:
             q, node, shared = q[~out], node[~out], shared[~out]
             if not len(q):
                 return
-            shared = shared + has[q, name[node]]
+            name = q * wide + np.searchsorted(self.names, key[node])
+            shared = shared + (own[np.searchsorted(own, name)] == name)
             need = -(-percent * (n[q] + least[node]) // (100 + percent))
             stay = 1 + shared + beyond[q] + left[node] >= need
             q, node, shared = q[stay], node[stay], shared[stay]
-            nxt = self.levels[d + 1][0]  # the padding ends every path before the levels do
-            first = np.searchsorted(nxt, lo[node])
-            many = np.searchsorted(nxt, hi[node]) - first
-            ends = np.cumsum(many)
-            node = np.repeat(first - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)
-            q, shared = np.repeat(q, many), np.repeat(shared, many)
+            if not len(q):
+                return
 
 
-def tree_pairs(rows: list[list], percent: int, skip: int, keep: int, across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates ``(query, other)`` among documents of one tree that lie in different components, and the queries that
-    have more of them than were taken.  Columns: document, size, component, place of the shared n-gram, end of the prefix,
-    path, places of the path, n-grams beyond the path, block (``across``: only pairs of two blocks), and the component now.
-    Ranks disregard what rounds have joined since the first, so that each candidate has its turn in one round."""
-    doc, n, comp, at, end, beyond, block, now = (np.array(rows[k], np.int64) for k in (0, 1, 2, 3, 4, 7, 8, 9))
-    paths, places = [np.array(x, np.int64) for x in rows[5]], [np.array(x, np.int64) for x in rows[6]]
-    tree = PathTree(paths, places, n, at)
+def tree_pairs(rows: list[list], percent: int, skip: int, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates ``(query, other)`` among documents of the same tree that lie in different components, and the queries
+    that have more of them than were taken.  Columns: tree, whether only pairs of two blocks count, document, size,
+    component, place of the shared n-gram, end of the prefix, path, places of the path, n-grams beyond the path, block,
+    and the component now.  Ranks disregard what rounds have joined since the first, so that each candidate has its
+    turn in one round."""
+    tree, across, doc, n, comp, at, end, beyond, block, now = (np.array(rows[k], np.int64) for k in (0, 1, 2, 3, 4, 5, 6, 9, 10, 11))
+    paths, places = [np.array(x, np.int64) for x in rows[7]], [np.array(x, np.int64) for x in rows[8]]
+    trie = PathTree(tree, paths, places, n, at)
     rest = -(-percent * n // 100) - 1  # what a set has beyond its prefix
     found: list[tuple[np.ndarray, ...]] = []
-    step = max(1, CELLS // max(len(tree.names), len(doc)))
-    for a in range(0, len(doc), step):
-        own = slice(a, a + step)
-        for q, lo, hi, shared in tree.walk(paths[own], n[own], end[own], beyond[own], percent):
+    load = np.cumsum(np.bincount(tree)[tree])  # a query begins with as many as its tree has
+    cuts = [0, *np.flatnonzero(load[1:] // CELLS != load[:-1] // CELLS) + 1, len(doc)]
+    for a, b in zip(cuts, cuts[1:]):
+        for q, lo, hi, shared in trie.walk(tree[a:b], paths[a:b], n[a:b], end[a:b], beyond[a:b], percent):
             if not len(q):
                 continue
             many = hi - lo
             ends = np.cumsum(many)
-            y = tree.order[np.repeat(lo - (ends - many), many) + np.arange(int(ends[-1]))]
+            y = trie.order[np.repeat(lo - (ends - many), many) + np.arange(int(ends[-1]))]
             x, shared = np.repeat(q, many) + a, np.repeat(shared, many)
             good = (comp[x] != comp[y]) & ((n[x] < n[y]) | ((n[x] == n[y]) & (doc[x] < doc[y]))) & (100 * n[x] >= percent * n[y])
-            if across:
-                good &= block[x] != block[y]
+            good &= (across[x] == 0) | (block[x] != block[y])
             x, y, shared = x[good], y[good], shared[good]
             have = 1 + shared + beyond[x] + beyond[y]
             # of the two, the set whose prefix ends first has its size less its prefix left
@@ -348,58 +349,83 @@ def tree_pairs(rows: list[list], percent: int, skip: int, keep: int, across: boo
     x, y, have = (np.concatenate(c) for c in zip(*found, strict=True))
     turn = np.lexsort((doc[y], -have, x))
     x, y = x[turn], y[turn]
-    first = np.searchsorted(x, x)
-    rank = np.arange(len(x)) - first
+    rank = np.arange(len(x)) - np.searchsorted(x, x)
     apart = now[x] != now[y]
     take = apart & (rank >= skip) & (rank < skip + keep)
     return doc[x[take]], doc[y[take]], np.unique(doc[x[apart & (rank >= skip + keep)]])
 
 
 def _trees(percent: int, skip: int, keep: int):  # noqa: ANN202
-    """Rows sorted by n-gram and tile: gram, tile (two blocks), and the columns of :func:`tree_pairs`."""
+    """Rows sorted by n-gram and tile: gram, tile (two blocks), and the columns of :func:`tree_pairs` from the document on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, cols = None, []
+        key, number = None, -1
+        cols: list[list] = [[] for _ in range(12)]
 
         def done() -> Iterator[pa.RecordBatch]:
-            if key is not None and len(cols[0]) > 1:
-                q, m, more = tree_pairs(cols, percent, skip, keep, key[1] != key[2])
+            if len(cols[0]) > 1:
+                q, m, more = tree_pairs(cols, percent, skip, keep)
                 if len(q) or len(more):
                     yield pa.RecordBatch.from_pydict({"q": pa.array(np.concatenate([q, more])), "m": pa.array(np.concatenate([m, more])), "more": pa.array(np.arange(len(q) + len(more)) >= len(q))})
+            for c in cols:
+                c.clear()
 
         for b in batches:
             lists = [c.to_pylist() for c in b.columns]
             for row in zip(*lists, strict=True):
                 if row[:3] != key:
-                    yield from done()
-                    key, cols = row[:3], [[] for _ in row[3:]]
-                for c, v in zip(cols, row[3:], strict=True):
+                    if len(cols[0]) >= FOREST:
+                        yield from done()
+                        number = -1
+                    key, number = row[:3], number + 1
+                for c, v in zip(cols, (number, row[1] != row[2], *row[3:]), strict=True):
                     c.append(v)
         yield from done()
 
     return run
 
 
-def candidates(open_: DataFrame, labels: DataFrame | None, percent: int, skip: int, keep: int) -> DataFrame:
-    """``q, m, more`` from the trees of the n-grams in ``open_`` (``gram, rep, n, c, pos, end``) whose documents, by
-    ``labels``, are still in different components."""
+def worth_a_tree(percent: int) -> F.Column:
+    """Whether an n-gram's documents (``m`` of them, sizes and numbers of n-grams that follow from ``least`` to ``most``) can have
+    a candidate.  Of a pair of sizes a <= b that suit each other, the prefixes share at most ``1 + follow`` and the rest
+    has at most ceil(t * b) - 1, while t * (a + b) / (1 + t) are needed; of two documents both numbers are known."""
+    t = F.lit(percent / 100.0)
+    a, b = F.col("least.n"), F.col("most.n")
+    follow = F.when(F.col("m") == 2, F.least("least.follow", "most.follow")).otherwise(F.col("follow"))
+    enough = 1 + follow + F.ceil(t * b) - 1 >= F.ceil(t * (a + b) / (1 + t) - F.lit(1e-9))
+    suits = a >= t * b - F.lit(1e-9)
+    return F.when(suits, enough).otherwise(F.col("m") > 2)
+
+
+def paths_of(open_: DataFrame) -> DataFrame:
+    """``rep, n, c, end, path``: per document its n-grams in ``open_`` in order, with their places (no more than a prefix)."""
     path = F.array_sort(F.collect_list(F.struct("gram", "pos")))
-    whole = open_.groupBy("rep").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.first("end").alias("end"), path.alias("path"))
-    each = whole.select("*", F.posexplode(F.transform("path", lambda x: x["gram"])).alias("_k", "gram"))
-    ahead = F.slice("path", F.col("_k") + 2, F.lit(LOOK))
-    each = each.select(
-        "gram", "rep", "n", "c", F.get("path", F.col("_k"))["pos"].alias("pos"), "end", F.transform(ahead, lambda x: x["gram"]).alias("keys"), F.transform(ahead, lambda x: x["pos"]).alias("places"),
-        F.greatest(F.size("path") - F.col("_k") - 1 - LOOK, F.lit(0)).alias("beyond"),
-    )
-    now = still_open(open_.select("gram", "rep", "c"), labels).withColumnRenamed("c", "now")
-    each = each.join(now, ["gram", "rep"])
+    return open_.groupBy("rep").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.first("end").alias("end"), path.alias("path"))
+
+
+def candidates(paths: DataFrame, labels: DataFrame | None, percent: int, skip: int, keep: int) -> DataFrame:
+    """``q, m, more`` from the trees of the n-grams in ``paths`` whose documents, by ``labels``, are still in different
+    components.  Light rows say which n-grams are worth a tree; only for those the paths are dealt."""
+    if labels is not None:
+        paths = paths.join(labels.select(F.col("v").alias("rep"), "component"), "rep", "left").withColumn("now", F.coalesce("component", "rep")).drop("component")
+    else:
+        paths = paths.withColumn("now", F.col("c"))
+    grams = F.transform("path", lambda x: x["gram"])
+    light = paths.select("rep", "n", "now", (F.size("path") - 1).alias("_last"), F.posexplode(grams).alias("_k", "gram")).withColumn("follow", F.col("_last") - F.col("_k"))
+    both = F.struct("n", "follow")
+    size = light.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("now").alias("_lo"), F.max("now").alias("_hi"), F.min(both).alias("least"), F.max(both).alias("most"), F.max("follow").alias("follow"))
     # an n-gram that very many have is dealt over tiles of two blocks each
-    size = open_.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / F.lit(TREE)).cast("int").alias("blocks")).where("blocks > 1")
-    each = each.join(size, "gram", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    each = each.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
-    others = F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))
-    tiles = each.withColumn("_other", F.explode(others)).withColumns({"i": F.least("block", "_other"), "j": F.greatest("block", "_other")})
-    rows = tiles.select("gram", "i", "j", "rep", "n", "c", "pos", "end", "keys", "places", "beyond", "block", "now")
+    size = size.where("_lo <> _hi").where(worth_a_tree(percent)).select("gram", F.ceil(F.col("m") / F.lit(TREE)).cast("int").alias("blocks"))
+    wanted = light.select("rep", "gram").join(size, "gram").groupBy("rep").agg(F.collect_list(F.struct("gram", "blocks")).alias("wanted"))
+    each = paths.join(wanted, "rep").select("rep", "n", "c", "now", "end", "path", grams.alias("keys"), F.explode("wanted").alias("w"))
+    each = each.select("*", F.col("w.gram").alias("gram"), F.array_position("keys", F.col("w.gram")).cast("int").alias("_k"), F.pmod(F.xxhash64("rep"), F.col("w.blocks").cast("long")).cast("int").alias("block"))
+    ahead = F.slice("path", F.col("_k") + 1, F.lit(LOOK))
+    others = F.when(F.col("w.blocks") > 1, F.sequence(F.lit(0), F.col("w.blocks") - 1)).otherwise(F.array(F.lit(0)))
+    tiles = each.withColumn("_other", F.explode(others))
+    rows = tiles.select(
+        "gram", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "rep", "n", "c", F.get("path", F.col("_k") - 1)["pos"].alias("pos"), "end",
+        F.transform(ahead, lambda x: x["gram"]).alias("ahead"), F.transform(ahead, lambda x: x["pos"]).alias("places"), F.greatest(F.size("path") - F.col("_k") - LOOK, F.lit(0)).alias("beyond"), "block", "now",
+    )
     return rows.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j").mapInArrow(_trees(percent, skip, keep), "q long, m long, more boolean")
 
 
@@ -494,15 +520,17 @@ def similar_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, key
         used = heads if used is None else used.unionByName(heads)
         renew()
     skip, keep = 0, FIRST_ROUND
-    while not open_.isEmpty():
-        found = materialise(candidates(open_, labels, percent, skip, keep), "ngram-candidates")
+    paths = materialise(paths_of(open_), "ngram-paths")
+    drop_table(open_)
+    while True:
+        found = materialise(candidates(paths, labels, percent, skip, keep), "ngram-candidates")
         link(found.where("NOT more").select("q", "m").distinct())
         last = found.where("more").isEmpty()
         drop_table(found)
         if last:
             break
         skip, keep = skip + keep, 8 * keep
-    drop_table(open_)
+    drop_table(paths)
 
     if labels is not None:
         least = classes.join(labels, "v").groupBy("component").agg(F.min("rep").alias("least"))

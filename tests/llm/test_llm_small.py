@@ -254,7 +254,7 @@ def test_similar_documents_by_trees_alone(spark, monkeypatch, small):
     """Without stars, and with trees, look-ahead and rounds so small that each is exceeded."""
     monkeypatch.setattr(ngram_join, "STARS", 0)
     if small:
-        for name, value in (("TREE", 4), ("LOOK", 2), ("FIRST_ROUND", 1), ("CELLS", 50)):
+        for name, value in (("TREE", 4), ("LOOK", 2), ("FIRST_ROUND", 1), ("CELLS", 50), ("FOREST", 10)):
             monkeypatch.setattr(ngram_join, name, value)
     rows = near_texts(31, 120)
     got = ngram_join.similar_documents(texts(spark, rows), width=3, percent=70)
@@ -274,12 +274,12 @@ def test_tree_candidates():
             sets.append(sorted(s))
         p = [len(s) - ngram_join.least_overlap(len(s), percent) + 1 for s in sets]
         after = [s[1:k] for s, k in zip(sets, p, strict=True)]
-        cols = [list(range(120)), [len(s) for s in sets], list(range(120)), [0] * 120, [s[k - 1] for s, k in zip(sets, p, strict=True)], [x[:look] for x in after], [list(range(1, len(x[:look]) + 1)) for x in after], [max(0, len(x) - look) for x in after], [0] * 120, list(range(120))]
-        q, m, more = ngram_join.tree_pairs(cols, percent, 0, 1000, False)
+        cols = [[0] * 120, [0] * 120, list(range(120)), [len(s) for s in sets], list(range(120)), [0] * 120, [s[k - 1] for s, k in zip(sets, p, strict=True)], [x[:look] for x in after], [list(range(1, len(x[:look]) + 1)) for x in after], [max(0, len(x) - look) for x in after], [0] * 120, list(range(120))]
+        q, m, more = ngram_join.tree_pairs(cols, percent, 0, 1000)
         pairs = [tuple(sorted(x)) for x in zip(q.tolist(), m.tolist(), strict=True)]
         want = {(i, j) for j in range(120) for i in range(j) if 100 * len(set(sets[i]) & set(sets[j])) >= percent * len(set(sets[i]) | set(sets[j]))}
         assert want and want <= set(pairs) and len(pairs) == len(set(pairs)) and not len(more)
-        parts = [ngram_join.tree_pairs(cols, percent, k, 7, False) for k in range(0, 140, 7)]
+        parts = [ngram_join.tree_pairs(cols, percent, k, 7) for k in range(0, 140, 7)]
         assert sorted(zip(q.tolist(), m.tolist(), strict=True)) == sorted(x for a, b, _ in parts for x in zip(a.tolist(), b.tolist(), strict=True)) and len(parts[0][2])
 
 
