@@ -12,6 +12,7 @@ read without the blocks before it.  The documents' table has keys and lengths.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -51,19 +52,31 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Whole texts to ids.  Byte-level BPE never merges across pre-tokens, so each distinct one is encoded once by
-    the library's model and kept; a full cache starts anew.  Strings of special tokens are ordinary text."""
+    """Whole texts to ids, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
-    def __init__(self, path: str) -> None:
+    Byte-level BPE never merges across pre-tokens, so each distinct one is encoded once by the library's model and
+    kept; a full cache starts anew.  That shortcut is taken for files with the plain byte-level pre-tokenizer and no
+    normaliser, and for texts that hold no added token's string and no character beyond its classes; all else goes
+    to the tokenizer whole.  With ``plain_specials`` the strings of special tokens are ordinary text.
+    """
+
+    def __init__(self, path: str, plain_specials: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = plain_specials
         self.model = self.whole.model
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self.wide = self.whole.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4") if self.wide else np.dtype("<u2")
         self.cache: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        cut, model = rules.get("pre_tokenizer") or {}, rules["model"]
+        plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and not rules.get("normalizer")
+        self.shortcut = plain and model.get("type") == "BPE" and not model.get("dropout") and not any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix"))
+        added = [t["content"] for t in rules.get("added_tokens", ()) if not (plain_specials and t.get("special"))]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
 
     def _learn(self, words: set[str]) -> None:
         if len(self.cache) + len(words) > CACHE_WORDS:
@@ -74,7 +87,7 @@ class Encoder:
             self.cache[w] = pack(f"<{len(ids)}{'I' if self.wide else 'H'}").pack(*ids)
 
     def encode(self, text: str) -> bytes:
-        if OTHER.search(text):
+        if not self.shortcut or OTHER.search(text) or (self.added and self.added.search(text)):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         words = WORDS.findall(text)
         try:
