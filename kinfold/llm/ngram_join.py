@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -319,9 +320,9 @@ def tree_pairs(rows: list[list], percent: int, skip: int, keep: int) -> tuple[np
     """Candidates ``(query, other)`` among documents of the same tree that lie in different components, and the queries
     that have more of them than were taken.  Columns: tree, whether only pairs of two blocks count, document, size,
     component, place of the shared n-gram, end of the prefix, path, places of the path, n-grams beyond the path, block,
-    and the component now.  Ranks disregard what rounds have joined since the first, so that each candidate has its
+    the component now, and whether the document may be the larger one here.  Ranks disregard what rounds have joined since the first, so that each candidate has its
     turn in one round."""
-    tree, across, doc, n, comp, at, end, beyond, block, now = (np.array(rows[k], np.int64) for k in (0, 1, 2, 3, 4, 5, 6, 9, 10, 11))
+    tree, across, doc, n, comp, at, end, beyond, block, now, native = (np.array(rows[k], np.int64) for k in (0, 1, 2, 3, 4, 5, 6, 9, 10, 11, 12))
     paths, places = [np.array(x, np.int64) for x in rows[7]], [np.array(x, np.int64) for x in rows[8]]
     trie = PathTree(tree, paths, places, n, at)
     rest = -(-percent * n // 100) - 1  # what a set has beyond its prefix
@@ -337,9 +338,10 @@ def tree_pairs(rows: list[list], percent: int, skip: int, keep: int) -> tuple[np
             y = trie.order[np.repeat(lo - (ends - many), many) + np.arange(int(ends[-1]))]
             x, shared = np.repeat(q, many) + a, np.repeat(shared, many)
             good = (comp[x] != comp[y]) & ((n[x] < n[y]) | ((n[x] == n[y]) & (doc[x] < doc[y]))) & (100 * n[x] >= percent * n[y])
-            good &= (across[x] == 0) | (block[x] != block[y])
+            good &= ((across[x] == 0) | (block[x] != block[y])) & (native[y] > 0)
             x, y, shared = x[good], y[good], shared[good]
-            have = 1 + shared + beyond[x] + beyond[y]
+            # after the end of the path that ends first, they share no more than what either has left there
+            have = 1 + shared + np.maximum(np.minimum(beyond[x], LOOK + beyond[y]), np.minimum(beyond[y], LOOK + beyond[x]))
             # of the two, the set whose prefix ends first has its size less its prefix left
             ceiling = have + np.where(end[x] <= end[y], rest[x], rest[y])
             good = ceiling >= -(-percent * (n[x] + n[y]) // (100 + percent))
@@ -356,11 +358,11 @@ def tree_pairs(rows: list[list], percent: int, skip: int, keep: int) -> tuple[np
 
 
 def _trees(percent: int, skip: int, keep: int):  # noqa: ANN202
-    """Rows sorted by n-gram and tile: gram, tile (two blocks), and the columns of :func:`tree_pairs` from the document on."""
+    """Rows sorted by tree and tile: gram, class of size, tile (two blocks), and the columns of :func:`tree_pairs` from the document on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, number = None, -1
-        cols: list[list] = [[] for _ in range(12)]
+        cols: list[list] = [[] for _ in range(13)]
 
         def done() -> Iterator[pa.RecordBatch]:
             if len(cols[0]) > 1:
@@ -373,12 +375,12 @@ def _trees(percent: int, skip: int, keep: int):  # noqa: ANN202
         for b in batches:
             lists = [c.to_pylist() for c in b.columns]
             for row in zip(*lists, strict=True):
-                if row[:3] != key:
+                if row[:4] != key:
                     if len(cols[0]) >= FOREST:
                         yield from done()
                         number = -1
-                    key, number = row[:3], number + 1
-                for c, v in zip(cols, (number, row[1] != row[2], *row[3:]), strict=True):
+                    key, number = row[:4], number + 1
+                for c, v in zip(cols, (number, row[2] != row[3], *row[4:]), strict=True):
                     c.append(v)
         yield from done()
 
@@ -412,21 +414,27 @@ def candidates(paths: DataFrame, labels: DataFrame | None, percent: int, skip: i
         paths = paths.withColumn("now", F.col("c"))
     grams = F.transform("path", lambda x: x["gram"])
     light = paths.select("rep", "n", "now", (F.size("path") - 1).alias("_last"), F.posexplode(grams).alias("_k", "gram")).withColumn("follow", F.col("_last") - F.col("_k"))
+    # sizes that suit each other are of one class or of neighbouring ones: a document goes to its own class, and to the
+    # next as the smaller one
+    own = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(percent / 100 - 1e-6))).cast("int")
+    light = light.select("rep", "n", "now", "follow", "gram", F.explode(F.array(F.struct(own.alias("cls"), F.lit(1).alias("native")), F.struct((own + 1).alias("cls"), F.lit(0).alias("native")))).alias("s"))
+    light = light.select("rep", "n", "now", "follow", "gram", "s.cls", "s.native")
     both = F.struct("n", "follow")
-    size = light.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("now").alias("_lo"), F.max("now").alias("_hi"), F.min(both).alias("least"), F.max(both).alias("most"), F.max("follow").alias("follow"))
+    size = light.groupBy("gram", "cls").agg(F.count(F.lit(1)).alias("m"), F.max("native").alias("_any"), F.min("now").alias("_lo"), F.max("now").alias("_hi"), F.min(both).alias("least"), F.max(both).alias("most"), F.max("follow").alias("follow"))
     # an n-gram that very many have is dealt over tiles of two blocks each
-    size = size.where("_lo <> _hi").where(worth_a_tree(percent)).select("gram", F.ceil(F.col("m") / F.lit(TREE)).cast("int").alias("blocks"))
-    wanted = light.select("rep", "gram").join(size, "gram").groupBy("rep").agg(F.collect_list(F.struct("gram", "blocks")).alias("wanted"))
+    size = size.where("_any = 1 AND _lo <> _hi").where(worth_a_tree(percent)).select("gram", "cls", F.ceil(F.col("m") / F.lit(TREE)).cast("int").alias("blocks"))
+    wanted = light.select("rep", "gram", "cls", "native").join(size, ["gram", "cls"]).groupBy("rep").agg(F.collect_list(F.struct("gram", "cls", "native", "blocks")).alias("wanted"))
     each = paths.join(wanted, "rep").select("rep", "n", "c", "now", "end", "path", grams.alias("keys"), F.explode("wanted").alias("w"))
-    each = each.select("*", F.col("w.gram").alias("gram"), F.array_position("keys", F.col("w.gram")).cast("int").alias("_k"), F.pmod(F.xxhash64("rep"), F.col("w.blocks").cast("long")).cast("int").alias("block"))
+    each = each.select("*", "w.gram", "w.cls", "w.native", F.array_position("keys", F.col("w.gram")).cast("int").alias("_k"), F.pmod(F.xxhash64("rep"), F.col("w.blocks").cast("long")).cast("int").alias("block"))
     ahead = F.slice("path", F.col("_k") + 1, F.lit(LOOK))
     others = F.when(F.col("w.blocks") > 1, F.sequence(F.lit(0), F.col("w.blocks") - 1)).otherwise(F.array(F.lit(0)))
     tiles = each.withColumn("_other", F.explode(others))
     rows = tiles.select(
-        "gram", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "rep", "n", "c", F.get("path", F.col("_k") - 1)["pos"].alias("pos"), "end",
-        F.transform(ahead, lambda x: x["gram"]).alias("ahead"), F.transform(ahead, lambda x: x["pos"]).alias("places"), F.greatest(F.size("path") - F.col("_k") - LOOK, F.lit(0)).alias("beyond"), "block", "now",
+        "gram", "cls", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "rep", "n", "c", F.get("path", F.col("_k") - 1)["pos"].alias("pos"), "end",
+        F.transform(ahead, lambda x: x["gram"]).alias("ahead"), F.transform(ahead, lambda x: x["pos"]).alias("places"), F.greatest(F.size("path") - F.col("_k") - LOOK, F.lit(0)).alias("beyond"), "block", "now", "native",
     )
-    return rows.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j").mapInArrow(_trees(percent, skip, keep), "q long, m long, more boolean")
+    tree = ("gram", "cls", "i", "j")
+    return rows.repartition(*tree).sortWithinPartitions(*tree).mapInArrow(_trees(percent, skip, keep), "q long, m long, more boolean")
 
 
 def still_open(postings: DataFrame, labels: DataFrame | None) -> DataFrame:

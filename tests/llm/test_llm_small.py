@@ -78,8 +78,7 @@ def test_token_files(spark, tmp_path):
 
     path = tokenizer_files.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
-    docs = texts(spark, [*ODD, (11, "it's 3² <|endoftext|> 日本\n\n  x")]).unionByName(documents(spark).select("doc_id", "text").withColumns({"n": F.lit(0), "h": F.lit(1), "tag": F.lit("x"), "digest": F.lit(0)}))
+    docs = texts(spark, [*ODD, (11, "it's 3² <|endoftext|> 日本\n\n  x"), (12, "a <|endoftext|> b<|endoftext|>"), (13, "<|endoftext")]).unionByName(documents(spark).select("doc_id", "text").withColumns({"n": F.lit(0), "h": F.lit(1), "tag": F.lit("x"), "digest": F.lit(0)}))
     got = token_planes.read_planes(token_planes.write_planes(docs, f"file://{tmp_path}/p", path, mode="bit")).collect()
     rows = sorted(((k, t or "") for k, t in docs.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
     at = 0
@@ -91,6 +90,20 @@ def test_token_files(spark, tmp_path):
     assert token_planes.read_planes(token_planes.write_planes(docs.limit(0), f"file://{tmp_path}/e", path)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_is_the_library(name):
+    """Also of a file whose rules differ, which goes to the tokenizer whole."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_files.path(name)
+    for plain in (False, True):
+        lib, own = Tokenizer.from_file(path), token_planes.Encoder(path, plain)
+        lib.encode_special_tokens = plain
+        assert own.shortcut == (name == "byte_bpe_50k.json")
+        for text in ("", "a <|endoftext|> b", "The Cat's  hat,\n\n 12 é 日本", " <|startoftext|>x"):
+            assert np.frombuffer(own.encode(text), own.kind).tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
 # --- 3 ---------------------------------------------------------------------------------------------------------
 
 
@@ -274,7 +287,7 @@ def test_tree_candidates():
             sets.append(sorted(s))
         p = [len(s) - ngram_join.least_overlap(len(s), percent) + 1 for s in sets]
         after = [s[1:k] for s, k in zip(sets, p, strict=True)]
-        cols = [[0] * 120, [0] * 120, list(range(120)), [len(s) for s in sets], list(range(120)), [0] * 120, [s[k - 1] for s, k in zip(sets, p, strict=True)], [x[:look] for x in after], [list(range(1, len(x[:look]) + 1)) for x in after], [max(0, len(x) - look) for x in after], [0] * 120, list(range(120))]
+        cols = [[0] * 120, [0] * 120, list(range(120)), [len(s) for s in sets], list(range(120)), [0] * 120, [s[k - 1] for s, k in zip(sets, p, strict=True)], [x[:look] for x in after], [list(range(1, len(x[:look]) + 1)) for x in after], [max(0, len(x) - look) for x in after], [0] * 120, list(range(120)), [1] * 120]
         q, m, more = ngram_join.tree_pairs(cols, percent, 0, 1000)
         pairs = [tuple(sorted(x)) for x in zip(q.tolist(), m.tolist(), strict=True)]
         want = {(i, j) for j in range(120) for i in range(j) if 100 * len(set(sets[i]) & set(sets[j])) >= percent * len(set(sets[i]) | set(sets[j]))}
