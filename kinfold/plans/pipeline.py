@@ -61,9 +61,10 @@ class Linkage:
 
 
 def report(df: DataFrame, digits: int = 4) -> list[dict]:
-    """A small report for a console or a JSON file: doubles rounded half-even on their exact values."""
+    """A report of every row of ``df`` for a console or a JSON file, so ``df`` should be one: doubles rounded half-even on
+    their exact values."""
     clean = lambda v: round(v, digits) if isinstance(v, float) else v
-    return [{k: clean(v) for k, v in r.asDict(recursive=True).items()} for r in df.limit(10_000).collect()]
+    return [{k: clean(v) for k, v in r.asDict(recursive=True).items()} for r in df.toLocalIterator()]
 
 
 def report_frame(df: DataFrame) -> DataFrame:
