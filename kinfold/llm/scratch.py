@@ -14,9 +14,12 @@ ARROW_BATCH_ROWS = 4000
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``.  Only in a single local JVM (tests) a local one stands in
+    where that is unset; on a cluster each executor would write to a disk of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="kinfold-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
