@@ -317,7 +317,7 @@ class PathTree:
 
 
 def tree_pairs(rows: list[list], percent: int, skip: int, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates ``(query, other)`` among documents of the same tree that lie in different components, and the queries
+    """Candidates ``(query, other)`` among documents of the same tree that lie in different components, and the trees
     that have more of them than were taken.  Columns: tree, whether only pairs of two blocks count, document, size,
     component, place of the shared n-gram, end of the prefix, path, places of the path, n-grams beyond the path, block,
     the component now, and whether the document may be the larger one here.  Ranks disregard what rounds have joined since the first, so that each candidate has its
@@ -347,29 +347,33 @@ def tree_pairs(rows: list[list], percent: int, skip: int, keep: int) -> tuple[np
             good = ceiling >= -(-percent * (n[x] + n[y]) // (100 + percent))
             found.append((x[good], y[good], have[good]))
     if not found:
-        return doc[:0], doc[:0], doc[:0]
+        return doc[:0], doc[:0], tree[:0]
     x, y, have = (np.concatenate(c) for c in zip(*found, strict=True))
     turn = np.lexsort((doc[y], -have, x))
     x, y = x[turn], y[turn]
     rank = np.arange(len(x)) - np.searchsorted(x, x)
     apart = now[x] != now[y]
     take = apart & (rank >= skip) & (rank < skip + keep)
-    return doc[x[take]], doc[y[take]], np.unique(doc[x[apart & (rank >= skip + keep)]])
+    return doc[x[take]], doc[y[take]], np.unique(tree[x[apart & (rank >= skip + keep)]])
 
 
 def _trees(percent: int, skip: int, keep: int):  # noqa: ANN202
     """Rows sorted by tree and tile: gram, class of size, tile (two blocks), and the columns of :func:`tree_pairs` from the document on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, number = None, -1
+        key, names = None, []
         cols: list[list] = [[] for _ in range(13)]
 
         def done() -> Iterator[pa.RecordBatch]:
             if len(cols[0]) > 1:
                 q, m, more = tree_pairs(cols, percent, skip, keep)
                 if len(q) or len(more):
-                    yield pa.RecordBatch.from_pydict({"q": pa.array(np.concatenate([q, more])), "m": pa.array(np.concatenate([m, more])), "more": pa.array(np.arange(len(q) + len(more)) >= len(q))})
-            for c in cols:
+                    again = [names[t] for t in more.tolist()]
+                    pairs, trees = pa.nulls(len(q), pa.int64()), pa.nulls(len(again), pa.int64())
+                    ends = (pa.concat_arrays([pa.array(c), trees]) for c in (q, m))
+                    marks = (pa.concat_arrays([pairs, pa.array([t[k] for t in again], pa.int64())]) for k in (0, 1))
+                    yield pa.RecordBatch.from_arrays([*ends, *marks], ["q", "m", "gram", "cls"])
+            for c in (*cols, names):
                 c.clear()
 
         for b in batches:
@@ -378,9 +382,9 @@ def _trees(percent: int, skip: int, keep: int):  # noqa: ANN202
                 if row[:4] != key:
                     if len(cols[0]) >= FOREST:
                         yield from done()
-                        number = -1
-                    key, number = row[:4], number + 1
-                for c, v in zip(cols, (number, row[2] != row[3], *row[4:]), strict=True):
+                    key = row[:4]
+                    names.append(row[:2])
+                for c, v in zip(cols, (len(names) - 1, row[2] != row[3], *row[4:]), strict=True):
                     c.append(v)
         yield from done()
 
@@ -405,9 +409,11 @@ def paths_of(open_: DataFrame) -> DataFrame:
     return open_.groupBy("rep").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.first("end").alias("end"), path.alias("path"))
 
 
-def candidates(paths: DataFrame, labels: DataFrame | None, percent: int, skip: int, keep: int) -> DataFrame:
-    """``q, m, more`` from the trees of the n-grams in ``paths`` whose documents, by ``labels``, are still in different
-    components.  Light rows say which n-grams are worth a tree; only for those the paths are dealt."""
+def candidates(paths: DataFrame, labels: DataFrame | None, trees: DataFrame | None, percent: int, skip: int, keep: int) -> DataFrame:
+    """``q, m`` from the trees of the n-grams in ``paths`` whose documents, by ``labels``, are still in different
+    components, and ``gram, cls`` of trees that have more.  Light rows say which n-grams are worth a tree; only for those
+    the paths are dealt.  ``trees`` are those that the round before left unfinished (none: the first round, all trees);
+    components only grow, so no other tree has a candidate left."""
     if labels is not None:
         paths = paths.join(labels.select(F.col("v").alias("rep"), "component"), "rep", "left").withColumn("now", F.coalesce("component", "rep")).drop("component")
     else:
@@ -419,6 +425,8 @@ def candidates(paths: DataFrame, labels: DataFrame | None, percent: int, skip: i
     own = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(percent / 100 - 1e-6))).cast("int")
     light = light.select("rep", "n", "now", "follow", "gram", F.explode(F.array(F.struct(own.alias("cls"), F.lit(1).alias("native")), F.struct((own + 1).alias("cls"), F.lit(0).alias("native")))).alias("s"))
     light = light.select("rep", "n", "now", "follow", "gram", "s.cls", "s.native")
+    if trees is not None:
+        light = light.join(trees, ["gram", "cls"], "left_semi")
     both = F.struct("n", "follow")
     size = light.groupBy("gram", "cls").agg(F.count(F.lit(1)).alias("m"), F.max("native").alias("_any"), F.min("now").alias("_lo"), F.max("now").alias("_hi"), F.min(both).alias("least"), F.max(both).alias("most"), F.max("follow").alias("follow"))
     # an n-gram that very many have is dealt over tiles of two blocks each
@@ -434,7 +442,7 @@ def candidates(paths: DataFrame, labels: DataFrame | None, percent: int, skip: i
         F.transform(ahead, lambda x: x["gram"]).alias("ahead"), F.transform(ahead, lambda x: x["pos"]).alias("places"), F.greatest(F.size("path") - F.col("_k") - LOOK, F.lit(0)).alias("beyond"), "block", "now", "native",
     )
     tree = ("gram", "cls", "i", "j")
-    return rows.repartition(*tree).sortWithinPartitions(*tree).mapInArrow(_trees(percent, skip, keep), "q long, m long, more boolean")
+    return rows.repartition(*tree).sortWithinPartitions(*tree).mapInArrow(_trees(percent, skip, keep), "q long, m long, gram long, cls long")
 
 
 def still_open(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -527,15 +535,18 @@ def similar_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, key
         heads = counted.select(F.col("h").alias("rep")).distinct()
         used = heads if used is None else used.unionByName(heads)
         renew()
-    skip, keep = 0, FIRST_ROUND
+    skip, keep, trees = 0, FIRST_ROUND, None
     paths = materialise(paths_of(open_), "ngram-paths")
     drop_table(open_)
     while True:
-        found = materialise(candidates(paths, labels, percent, skip, keep), "ngram-candidates")
-        link(found.where("NOT more").select("q", "m").distinct())
-        last = found.where("more").isEmpty()
+        found = materialise(candidates(paths, labels, trees, percent, skip, keep), "ngram-candidates")
+        link(found.where("q IS NOT NULL").select("q", "m").distinct())
+        if trees is not None:
+            drop_table(trees)
+        trees = materialise(found.where("gram IS NOT NULL").select("gram", F.col("cls").cast("int").alias("cls")).distinct(), "ngram-trees")
         drop_table(found)
-        if last:
+        if trees.isEmpty():
+            drop_table(trees)
             break
         skip, keep = skip + keep, 8 * keep
     drop_table(paths)
