@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kinfold.llm.bytestext import U64, mix, row_blocks, shingle_sets, text_bytes
 from kinfold.llm.components import components
 from kinfold.llm.hits import filled_ids, id_slot, key_bits
-from kinfold.llm.scratch import bounded_batches, drop_table, materialise
+from kinfold.llm.scratch import bounded_batches, drop_table, materialise, release
 
 #: Rows of bytes worked on at once.
 BLOCK = 2 << 20
@@ -495,6 +495,7 @@ def similar_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, key
     middle = shared.groupBy("rep").agg((F.sum("df") / F.max("n")).alias("middle"))
     open_ = materialise(shared.join(middle, "rep").select("gram", "rep", "n", "pos", "end", "middle", F.col("rep").alias("c")), "ngram-open")
     drop_table(shared)
+    release(spark)
 
     done: DataFrame | None = None
     used: DataFrame | None = None
@@ -509,19 +510,23 @@ def similar_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, key
         if pairs.isEmpty():
             return
         sets = sets_of(pairs, classes, rows, order, width)
+        release(spark)
         found = materialise(verified(pairs, sets, percent), "ngram-links")
         drop_table(sets)
+        release(spark)
         done = pairs if done is None else done.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         if labels is not None:
             drop_table(labels)
         labels = components(links, "q", "m")
+        release(spark)
 
     def renew() -> None:
         nonlocal open_
         now = materialise(still_open(open_, labels), "ngram-open")
         drop_table(open_)
         open_ = now
+        release(spark)
 
     for _ in range(STARS):
         heads = open_ if used is None else open_.join(used, "rep", "left_anti")
@@ -538,8 +543,10 @@ def similar_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, key
     skip, keep, trees = 0, FIRST_ROUND, None
     paths = materialise(paths_of(open_), "ngram-paths")
     drop_table(open_)
+    release(spark)
     while True:
         found = materialise(candidates(paths, labels, trees, percent, skip, keep), "ngram-candidates")
+        release(spark)
         link(found.where("q IS NOT NULL").select("q", "m").distinct())
         if trees is not None:
             drop_table(trees)

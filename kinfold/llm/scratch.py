@@ -49,6 +49,12 @@ def drop_table(df: DataFrame) -> None:
         drop_path(df.sparkSession, os.path.dirname(files[0]))
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of finished jobs deleted.  Spark drops them when the driver's garbage is collected, which a
+    driver with little to do puts off (half an hour at most), so a job of many rounds would keep them all on disk."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH_BYTES)
