@@ -171,6 +171,14 @@ def possible(percent: int) -> F.Column:
     return sizes & (F.col("together") + F.greatest(ceiling("nq"), ceiling("nm")) - 1 >= need - F.lit(1e-9))
 
 
+def in_reach(percent: int) -> F.Column:
+    """Whether a document and the head ``h`` of a shared n-gram can be similar, by the n-gram's places in both ordered sets:
+    they share no more than the fewer n-grams before it, itself, and the fewer after it."""
+    before = F.least("pos", "h.pos")
+    after = F.least(F.col("n") - F.col("pos") - 1, -F.col("h.n") - F.col("h.pos") - 1)
+    return before + 1 + after >= F.ceil(F.lit(percent) * (F.col("n") - F.col("h.n")) / F.lit(100.0 + percent) - F.lit(1e-9))
+
+
 class PrefixTree:
     """A trie of globally ordered sets, kept flat: the sets in lexicographic order, each with the depth at which it
     leaves its predecessor's path.  Walking them in that order visits every edge of the trie once."""
@@ -530,8 +538,8 @@ def similar_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, key
 
     for _ in range(STARS):
         heads = open_ if used is None else open_.join(used, "rep", "left_anti")
-        heads = heads.groupBy("gram").agg(F.max(F.struct("middle", (-F.col("n")).alias("n"), (-F.col("rep")).alias("rep"), "c")).alias("h"))
-        star = open_.join(heads, "gram").where(F.col("c") != F.col("h.c"))
+        heads = heads.groupBy("gram").agg(F.max(F.struct("middle", (-F.col("n")).alias("n"), (-F.col("rep")).alias("rep"), "c", "pos")).alias("h"))
+        star = open_.join(heads, "gram").where(F.col("c") != F.col("h.c")).where(in_reach(percent))
         h, hn, r, n = -F.col("h.rep"), -F.col("h.n"), F.col("rep"), F.col("n")
         first = (hn < n) | ((hn == n) & (h < r))
         star = star.select(h.alias("h"), *(F.when(first, a).otherwise(b).alias(c) for a, b, c in ((h, r, "q"), (r, h, "m"), (hn, n, "nq"), (n, hn, "nm"))))
