@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm.hits import digest_slot, filled, key_bits
-from kinfold.llm.scratch import bounded_batches, materialise, scratch_path
+from kinfold.llm.scratch import bounded_batches, lean, materialise, scratch_path
 
 #: Settings of the state: RocksDB on the executors' disks with bounded memory, change logs in the checkpoint.
 STATE = {
@@ -105,13 +105,13 @@ def streaming_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     bounded_batches(spark)
     root = state_dir or scratch_path(spark, "exact-dedup")
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    staged = source.mapInArrow(_digests, "doc_id long, digest binary, n_bytes long").withColumns({"call": F.lit(time.time_ns()).cast("long"), "loc": F.monotonically_increasing_id()})
+    staged = source.mapInArrow(lean(_digests), "doc_id long, digest binary, n_bytes long").withColumns({"call": F.lit(time.time_ns()).cast("long"), "loc": F.monotonically_increasing_id()})
     staged = materialise(staged, "exact-dedup-rows")
     staged.write.mode("append").parquet(f"{root}/staged")  # the stream's one source, so that its checkpoint holds
     state = materialise(keyed_state(spark, f"{root}/staged", staged.schema, root), "exact-dedup-state")
     here = staged.groupBy("digest").agg(F.count(F.lit(1)).alias("here"))
     hits = here.where("here > 1").select("digest")
-    bodies = source.select("text").mapInArrow(_hit_bodies(key_bits(hits, digest_slot("digest"))), "digest binary, body binary")
+    bodies = source.select("text").mapInArrow(lean(_hit_bodies(key_bits(hits, digest_slot("digest")))), "digest binary, body binary")
     variants = bodies.groupBy("digest", "body").agg(F.count(F.lit(1)).alias("n")).groupBy("digest").agg(F.count(F.lit(1)).alias("bodies"), F.sum("n").alias("copies"))
     odd = (F.col("here") > 1) & ((F.coalesce("bodies", F.lit(0)) != 1) | (F.col("copies") != F.col("here")))
     checked = state.join(here, "digest").join(variants, "digest", "left")

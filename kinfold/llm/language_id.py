@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm.bytestext import row_blocks, text_bytes
-from kinfold.llm.scratch import bounded_batches
+from kinfold.llm.scratch import bounded_batches, lean
 
 #: Components of a hypervector.
 DIM = 1024
@@ -159,7 +159,7 @@ def fit(docs: DataFrame, *, per_language: int = FIT_DOCS, key: str = "doc_id", t
     some = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), pick.alias("_h"), chance.alias("_c")).join(F.broadcast(counts), F.col("lang") == F.col("_l"))
     some = some.where(F.col("_c") < share)
     ranked = some.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_r") <= per_language)
-    parts = ranked.select("text", "lang").repartition(12).mapInArrow(_fit, "lang string, profile array<double>")
+    parts = ranked.select("text", "lang").repartition(12).mapInArrow(lean(_fit), "lang string, profile array<double>")
     sums: dict[str, np.ndarray] = {}
     for r in sorted(parts.collect(), key=lambda r: (r.lang, r.profile)):
         sums[r.lang] = sums.get(r.lang, 0) + np.array(r.profile)
@@ -203,7 +203,7 @@ def predict(docs: DataFrame, profiles: Profiles, *, text: str = "text", carry: t
     bounded_batches(docs.sparkSession)
     rows = docs.select(*carry, F.col(text).alias("_text"))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_predict(profiles, len(carry)), f"{ddl}, lang_pred string, score double")
+    return rows.mapInArrow(lean(_predict(profiles, len(carry))), f"{ddl}, lang_pred string, score double")
 
 
 def held_out(key: str = "doc_id") -> F.Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kinfold.llm.bytestext import U64, mix, row_blocks, shingle_sets, text_bytes
 from kinfold.llm.components import components
 from kinfold.llm.hits import filled_ids, id_slot, key_bits
-from kinfold.llm.scratch import bounded_batches, drop_table, materialise, release
+from kinfold.llm.scratch import bounded_batches, drop_table, lean, materialise, release
 
 #: Rows of bytes worked on at once.
 BLOCK = 2 << 20
@@ -153,9 +153,9 @@ def sets_of(pairs: DataFrame, classes: DataFrame, rows: DataFrame, order: Order,
     fixed-size bitmap of their keys keeps most other texts out of the shuffle of the semi-join."""
     asked = pairs.select(F.explode(F.array("q", "m")).alias("v")).distinct().join(classes.select("v", "rep"), "v")
     ids = asked.select(F.col("rep").alias("doc_id")).distinct()
-    some = rows.where("doc_id IS NOT NULL").mapInArrow(_wanted(key_bits(ids, id_slot("doc_id"))), "doc_id long, text string")
+    some = rows.where("doc_id IS NOT NULL").mapInArrow(lean(_wanted(key_bits(ids, id_slot("doc_id")))), "doc_id long, text string")
     texts = some.join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_ordered_sets(order, width), "n int, h1 long, h2 long, grams binary").select(F.xxhash64(*VERTEX).alias("v"), "grams")
+    sets = texts.mapInArrow(lean(_ordered_sets(order, width)), "n int, h1 long, h2 long, grams binary").select(F.xxhash64(*VERTEX).alias("v"), "grams")
     return materialise(sets.join(asked.select("v").hint("shuffle_hash"), "v", "left_semi").dropDuplicates(["v"]), "ngram-sets")
 
 
@@ -262,7 +262,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     heads = jobs.select("q", "part").distinct()
     heads = heads.join(sets, heads["q"] == sets["v"]).select("q", "part", F.lit(None).cast("long").alias("m"), "grams")
     rows = heads.unionByName(members).repartition("q", "part").sortWithinPartitions("q", "part", F.col("m").asc_nulls_first())
-    return rows.mapInArrow(_verify(percent), "q long, m long")
+    return rows.mapInArrow(lean(_verify(percent)), "q long, m long")
 
 
 class PathTree:
@@ -450,7 +450,7 @@ def candidates(paths: DataFrame, labels: DataFrame | None, trees: DataFrame | No
         F.transform(ahead, lambda x: x["gram"]).alias("ahead"), F.transform(ahead, lambda x: x["pos"]).alias("places"), F.greatest(F.size("path") - F.col("_k") - LOOK, F.lit(0)).alias("beyond"), "block", "now", "native",
     )
     tree = ("gram", "cls", "i", "j")
-    return rows.repartition(*tree).sortWithinPartitions(*tree).mapInArrow(_trees(percent, skip, keep), "q long, m long, gram long, cls long")
+    return rows.repartition(*tree).sortWithinPartitions(*tree).mapInArrow(lean(_trees(percent, skip, keep)), "q long, m long, gram long, cls long")
 
 
 def still_open(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -487,10 +487,10 @@ def similar_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, key
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    counts = rows.select("text").mapInArrow(_count_frequent(width), "gram long, n long")
+    counts = rows.select("text").mapInArrow(lean(_count_frequent(width)), "gram long, n long")
     top = counts.groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(FREQUENT)
     order = Order([r.gram for r in top.collect()])
-    sized = materialise(rows.mapInArrow(_prefixes(order, width, percent), "doc_id long, n int, h1 long, h2 long, prefix array<long>"), "ngram-prefixes")
+    sized = materialise(rows.mapInArrow(lean(_prefixes(order, width, percent)), "doc_id long, n int, h1 long, h2 long, prefix array<long>"), "ngram-prefixes")
 
     # a vertex is a set, whatever rows have it; rows that share a key but not a text are different vertices
     named = sized.where("n > 0 AND doc_id IS NOT NULL").withColumn("v", F.xxhash64(*VERTEX))

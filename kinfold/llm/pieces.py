@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.scratch import bounded_batches, filesystem, normal_uri, partitions, scratch_path
+from kinfold.llm.scratch import bounded_batches, filesystem, lean, normal_uri, partitions, scratch_path
 from kinfold.llm.warc import _put
 
 #: Fixed values of the model format: the mark of a space, the byte pieces' form, model types, types of pieces.
@@ -602,7 +602,7 @@ def encode_documents(docs: DataFrame, model: str, *, key: str = "doc_id", text:
     store, path = filesystem(folder)
     store.create_dir(path)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), *carry, F.col(text).alias("_text"))
-    lists = rows.mapInArrow(_cut(model, folder), "place long, word string").repartition(LATTICE_TASKS * partitions(spark), "word")
+    lists = rows.mapInArrow(lean(_cut(model, folder)), "place long, word string").repartition(LATTICE_TASKS * partitions(spark), "word")
     # this holds for all rows; said here, both sides of the join have the same filter and read one exchange, and so they
     # do as the first place is carried along
     lists = lists.where(F.length("word").between(1, table.most) & F.col("place").isNotNull())
@@ -613,7 +613,7 @@ def encode_documents(docs: DataFrame, model: str, *, key: str = "doc_id", text:
     dealt = joined.repartition(partitions(spark), _right(F.col("place"), PLACE_BITS)).sortWithinPartitions("place")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     extra = "".join(f", `{c}` {kinds[c]}" for c in carry)
-    return dealt.mapInArrow(_assemble(model, folder, with_ids), f"doc_id long, n_pieces long, ids_crc32 long, decoded_crc32 long, round_trip boolean, ids binary{extra}")
+    return dealt.mapInArrow(lean(_assemble(model, folder, with_ids)), f"doc_id long, n_pieces long, ids_crc32 long, decoded_crc32 long, round_trip boolean, ids binary{extra}")
 
 
 def op10_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
