@@ -28,6 +28,8 @@ NORMAL, USER_DEFINED = 1, 4
 CHUNK = 32 << 20
 #: Characters cut at once, segments put together at once.
 WINDOW, BLOCK = 4 << 20, 1 << 20
+#: Distinct segments that leave a worker at once.
+ROWS = 1 << 15
 #: Bits of a segment's number in its chunk, and of a chunk's number in its task.
 PLACE_BITS, CHUNK_BITS = 28, 12
 #: Tasks that lattices are dealt over, as a multiple of the shuffle partitions.
@@ -442,7 +444,9 @@ def _cut(model: str, folder: str):  # noqa: ANN202
 
             _put(_file(folder, chunk), rows)
             some = [k for k, w in enumerate(words) if len(w) <= table.most]
-            yield pa.RecordBatch.from_arrays([pa.array((chunk << PLACE_BITS) + np.array(some, np.int64)), pa.array([words[k] for k in some], pa.string())], names=["place", "word"])
+            for k in range(0, len(some) or 1, ROWS):
+                now = some[k : k + ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array((chunk << PLACE_BITS) + np.array(now, np.int64)), pa.array([words[i] for i in now], pa.string())], names=["place", "word"])
             held.clear()
             index.clear()
             index[" "]  # each chunk has a row, whatever its texts

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Arrow batches handed to Python hold at most this many bytes, so that very long texts cannot fill a worker.
-ARROW_BATCH_BYTES = 8 << 20
+ARROW_BATCH_BYTES = 2 << 20
 ARROW_BATCH_ROWS = 4000
 
 
