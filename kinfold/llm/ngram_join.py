@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm.bytestext import U64, mix, row_blocks, shingle_sets, text_bytes
@@ -453,6 +453,17 @@ def candidates(paths: DataFrame, labels: DataFrame | None, trees: DataFrame | No
     return rows.repartition(*tree).sortWithinPartitions(*tree).mapInArrow(lean(_trees(percent, skip, keep)), "q long, m long, gram long, cls long")
 
 
+def shared_postings(ones: DataFrame) -> DataFrame:
+    """``rep, pos, gram, df``: the n-grams of prefixes that several sets have.  Most are of one set only and leave here, so
+    a row in the exchange holds no more than the n-gram and its place, and crosses it once.  Frequent n-grams are counted
+    before their exchange."""
+    posted = ones.select("rep", F.posexplode("prefix").alias("pos", "gram"))
+    rare = posted.where(F.col("gram") < LATE).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("gram")))
+    late = posted.where(F.col("gram") >= LATE)
+    late = late.join(late.groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "gram")
+    return rare.unionByName(late).where("df > 1")
+
+
 def still_open(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The postings with their components, where an n-gram's documents still lie in different ones."""
     if labels is not None:
@@ -493,16 +504,21 @@ def similar_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, key
     sized = materialise(rows.mapInArrow(lean(_prefixes(order, width, percent)), "doc_id long, n int, h1 long, h2 long, prefix array<long>"), "ngram-prefixes")
 
     # a vertex is a set, whatever rows have it; rows that share a key but not a text are different vertices
-    named = sized.where("n > 0 AND doc_id IS NOT NULL").withColumn("v", F.xxhash64(*VERTEX))
-    classes = materialise(named.groupBy("v").agg(F.min("doc_id").alias("rep")), "ngram-classes")
-    one = named.join(classes.select("v", F.col("rep").alias("doc_id")), ["v", "doc_id"]).dropDuplicates(["v"])
-    posted = one.select(F.col("v").alias("rep"), "n", F.element_at("prefix", -1).alias("end"), F.posexplode("prefix").alias("pos", "gram"))
-    several = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = materialise(posted.join(several, "gram"), "ngram-shared")
+    vertices = sized.select("doc_id", "n", F.xxhash64(*VERTEX).alias("v"), "prefix")
+    ids = materialise(vertices.drop("prefix"), "ngram-rows")
+    real = "n > 0 AND doc_id IS NOT NULL"
+    classes = materialise(ids.where(real).groupBy("v").agg(F.min("doc_id").alias("rep")), "ngram-classes")
+    ones = materialise(vertices.where(real).select(F.col("v").alias("rep"), "n", "prefix").dropDuplicates(["rep"]), "ngram-ones")
+    drop_table(sized)
+    release(spark)
+    shared = materialise(shared_postings(ones), "ngram-shared")
+    release(spark)
     # the more others share of a document's prefix, the nearer it is to the middle of a group of copies
-    middle = shared.groupBy("rep").agg((F.sum("df") / F.max("n")).alias("middle"))
-    open_ = materialise(shared.join(middle, "rep").select("gram", "rep", "n", "pos", "end", "middle", F.col("rep").alias("c")), "ngram-open")
-    drop_table(shared)
+    each = ones.select("rep", "n", F.element_at("prefix", -1).alias("end"))
+    each = each.join(shared.groupBy("rep").agg(F.sum("df").alias("_df")), "rep").select("rep", "n", "end", (F.col("_df") / F.col("n")).alias("middle"))
+    open_ = materialise(shared.join(each, "rep").select("gram", "rep", "n", "pos", "end", "middle", F.col("rep").alias("c")), "ngram-open")
+    for gone in (shared, ones):
+        drop_table(gone)
     release(spark)
 
     done: DataFrame | None = None
@@ -569,7 +585,7 @@ def similar_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, key
     if labels is not None:
         least = classes.join(labels, "v").groupBy("component").agg(F.min("rep").alias("least"))
         classes = classes.join(labels, "v", "left").join(least, "component", "left").select("v", F.coalesce("least", "rep").alias("rep"))
-    ids = sized.select("doc_id", "n", F.xxhash64(*VERTEX).alias("v")).join(classes, "v", "left")
+    ids = ids.join(classes, "v", "left")
     own = F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))
     return ids.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 

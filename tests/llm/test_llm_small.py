@@ -271,6 +271,35 @@ def test_similar_documents_by_trees_alone(spark, monkeypatch, small):
     assert {tuple(r) for r in got.collect()} == similar(rows, 3, 70)
 
 
+def shuffled_rows(spark):
+    """Rows that the session's stages have written to exchanges so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_prefixes_cross_one_exchange(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(302))) for i in range(200)]
+    rows += [(1000 + i, f"own{i} " + " ".join(f"w{i}x{k}" for k in range(302))) for i in range(5)]
+    before = shuffled_rows(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as on tables too large to send whole
+    try:
+        got = {r.doc_id: r.component_id for r in ngram_join.similar_documents(texts(spark, rows), width=3, percent=80).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {i: i for i in range(200)} | {1000 + i: i for i in range(5)}
+    assert shuffled_rows(spark) - before < 1.5 * 205 * 61  # 61 n-grams of 300 are the prefix
+
+
+def test_shared_postings(spark):
+    late = ngram_join.LATE
+    sets = {7: [3, 5, 9, late + 1, late + 4], 8: [5, 9, late + 4], 9: [9, 11], 10: [late + 2]}
+    ones = spark.createDataFrame([(k, len(g), g) for k, g in sets.items()], "rep long, n int, prefix array<long>")
+    got = sorted((r.rep, r.pos, r.gram, r.df) for r in ngram_join.shared_postings(ones).collect())
+    assert got == [(7, 1, 5, 2), (7, 2, 9, 3), (7, 4, late + 4, 2), (8, 0, 5, 2), (8, 1, 9, 3), (8, 2, late + 4, 2), (9, 0, 9, 3)]
+
+
 def test_tree_candidates():
     """Of sets that share their first n-gram, every similar pair is a candidate, once, whatever the cut of the path."""
     rng = random.Random(5)
