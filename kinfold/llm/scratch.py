@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Arrow batches handed to Python hold at most this many bytes, so that very long texts cannot fill a worker.
@@ -54,9 +55,41 @@ def drop_table(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Have the shuffle files of finished jobs deleted.  Spark drops them when the driver's garbage is collected, which a
-    driver with little to do puts off (half an hour at most), so a job of many rounds would keep them all on disk."""
+    """Have the shuffle files of finished jobs deleted, and give the driver's free memory back.  Spark drops the files when
+    the driver's garbage is collected, which a driver with little to do puts off (half an hour at most), so a job of many
+    rounds would keep them all on disk."""
     spark.sparkContext._jvm.System.gc()
+    trim_jvm(spark)
+    trim_python()
+
+
+def trim_jvm(spark: SparkSession) -> bool:
+    """Have the driver's JVM return what it has freed outside its heap.  Compiling the code of many plans takes and frees
+    much there, and the C library keeps it for each thread.  False where the JVM has no such command (HotSpot on Linux
+    has it from 17.0.9 on)."""
+    jvm, new_array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    given = new_array(jvm.Object, 4)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    named = new_array(jvm.Class, 4)
+    for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        named[i] = jvm.Class.forName(kind)
+    # by the interface, as the server's own class is not open to callers
+    invoke = jvm.Class.forName("javax.management.MBeanServer").getMethod("invoke", named)
+    try:
+        invoke.invoke(server, given)
+    except Py4JJavaError:
+        return False
+    return True
+
+
+def trim_python() -> None:
+    """Return what this process has freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -72,11 +105,7 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
-            if trim:
-                trim(0)
+            trim_python()
 
     return wrapped
 
